@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import packing, termfreq, tokens, topn
+from quernstone.llm import neardup, packing, sentences, termfreq, tokens, topn
 
 CONTAINER = 2048
 
@@ -49,6 +49,26 @@ FROM pairs GROUP BY term
 P2_SQL = f"SELECT term, mark FROM ({P2_TERMS_SQL}) WHERE mark IS NOT NULL"
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "expander").select("rec_id", "original", "queries")
+    return neardup.similar_pairs(rows, "rec_id", neardup.word_set("original", "queries"))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "expander").select("rec_id", "original", "queries")
+    return neardup.grouped(rows, "rec_id", neardup.word_set("original", "queries"))
+
+
+P5_SQL = r"""
+WITH w AS (
+  SELECT DISTINCT rec_id, lower(unnest(regexp_extract_all(concat_ws(' ', original, array_to_string(queries, ' ')), '[\p{L}\p{N}]+'))) AS word
+  FROM expander WHERE rec_id IS NOT NULL),
+n AS (SELECT rec_id, count(*) AS n FROM w GROUP BY rec_id),
+s AS (SELECT a.rec_id AS rec_a, b.rec_id AS rec_b, count(*) AS shared FROM w a JOIN w b ON a.word = b.word AND a.rec_id < b.rec_id GROUP BY ALL)
+SELECT rec_a, rec_b FROM s JOIN n x ON x.rec_id = rec_a JOIN n y ON y.rec_id = rec_b WHERE shared >= 0.75 * (x.n + y.n - shared)
+"""
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -58,5 +78,10 @@ def p7_bins(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(docs), "doc_id", "n_tokens", CONTAINER)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_terms": p2_terms, "p6_ids": p6_ids, "p7_bins": p7_bins}
-ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_terms": P2_TERMS_SQL}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    units = sentences.sentence_units(table(spark, folder, "documents").select("doc_id", "text"))
+    return units.select("doc_id", "start_pos", "end_pos")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_terms": p2_terms, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_bins": p7_bins, "p8_found": p8_found}
+ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_terms": P2_TERMS_SQL, "p5_found": P5_SQL}

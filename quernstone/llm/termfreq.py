@@ -28,6 +28,8 @@ from quernstone.session import durable_folder, scratch_path
 RADIX_BITS, LEVELS = 8, 6
 #: Rows of a partition: some 100 MB in DuckDB.
 CAPACITY = 4_000_000
+#: Rows that are worth a task of their own.
+LEAST = 100_000
 #: What Unicode calls white space.
 WHITE = r"\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -52,11 +54,14 @@ def _counts(rows: DataFrame, level: int, within: list[int]) -> dict[int, int]:
     return {r["b"]: r["count"] for r in rows.groupBy(_prefix("h", level).alias("b")).count().collect()}
 
 
-def radix_plan(rows: DataFrame, capacity: int) -> tuple[list[tuple[int, int, int]], int]:
-    """Leaf buckets (level, prefix, rows) that fit the capacity, and those of one hot hash, at level LEVELS."""
+def radix_plan(rows: DataFrame, capacity: int, tasks: int = 1) -> tuple[list[tuple[int, int, int]], int]:
+    """Leaf buckets (level, prefix, rows) that fit the capacity, and those of one hot hash, at level LEVELS; the
+    capacity, lowered (to LEAST at least) where fewer rows are left for each of the tasks that can run at once."""
     leaves, open_, level = [], [], 0
     while level < LEVELS:
         counts = _counts(rows, level, open_)
+        if not level:
+            capacity = min(capacity, max(LEAST, -(-sum(counts.values()) // tasks)))
         leaves += [(level, b, c) for b, c in counts.items() if c <= capacity]
         open_ = [b for b, c in counts.items() if c > capacity]
         if not open_:
@@ -64,7 +69,7 @@ def radix_plan(rows: DataFrame, capacity: int) -> tuple[list[tuple[int, int, int
         level += 1
         if level == LEVELS:
             leaves += [(LEVELS, b, counts[b]) for b in open_]
-    return leaves, level
+    return leaves, capacity
 
 
 def _aggregate(folder: str | None, memory: str):
@@ -113,7 +118,8 @@ def term_frequencies(df: DataFrame, term: str, doc: str, freq: str, capacity: in
     rows = df.where(df[term].isNotNull() & df[doc].isNotNull() & (df[freq] >= 1)).select(
         normal_term(df[term].cast("string")).alias("term"), df[doc].cast("string").alias("doc"), df[freq].cast("long").alias("freq")
     ).withColumn("h", F.xxhash64("term"))
-    leaves, _ = radix_plan(rows, capacity)
+    leaves, capacity = radix_plan(rows, capacity, spark.sparkContext.defaultParallelism)
+    capacity = max(1, capacity)
     # Pack neighbouring buckets into partitions of about the capacity.
     place, part, held, hot = {}, 0, 0, []
     for level, prefix, count in sorted(leaves, key=lambda x: (x[0] == LEVELS, x[1] << (RADIX_BITS * (LEVELS - x[0])))):
