@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import neardup, packing, pairs, sentences, termfreq, tokens, topn
+from quernstone.llm import knn, neardup, packing, pairs, sentences, termfreq, tokens, topn
 
 CONTAINER = 2048
 
@@ -49,6 +49,10 @@ FROM pairs GROUP BY term
 P2_SQL = f"SELECT term, mark FROM ({P2_TERMS_SQL}) WHERE mark IS NOT NULL"
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return knn.neighbour_pairs(table(spark, folder, "run_hnsw"), "id", "embedding", dim=64, k=5)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.broken_pairs(table(spark, folder, "expander"))
 
@@ -87,5 +91,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return units.select("doc_id", "start_pos", "end_pos")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_terms": p2_terms, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_bins": p7_bins, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_terms": p2_terms, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_bins": p7_bins, "p8_found": p8_found}
 ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_terms": P2_TERMS_SQL, "p5_found": P5_SQL}
