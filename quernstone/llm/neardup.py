@@ -28,8 +28,8 @@ from quernstone.session import settle, written
 
 ROWS, BANDS = 6, 40
 #: Sketch bits compared in the join, and how many of them may differ: at similarity 0.75 an eighth differ on average,
-#: 16 of 128 with a standard deviation of 3.7, so 38 is six of these away.
-BITS, MOST_DIFFERENT = 128, 38
+#: 16 of 128 with a standard deviation of 3.7; more than 33 have a probability of 1.5e-5.
+BITS, MOST_DIFFERENT = 128, 33
 #: Members of a bucket that are paired in one piece; larger buckets are cut into blocks, paired block by block.
 BLOCK = 2_000
 #: Records sketched at once by a task.
