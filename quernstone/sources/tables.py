@@ -152,3 +152,13 @@ def report(summary: DataFrame, columns: Sequence[str] = ("ndcg@10", "recall@100"
 
 def numbered(df: DataFrame, order: Sequence[str], within: Sequence[str], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+
+
+def hashed_sample(df: DataFrame, key: str, want: int, total: int) -> DataFrame:
+    """The want rows of smallest hash of their key, of total rows. Tasks send on no more than they need: rows far above
+    the hash expected for the last one are dropped before the sort (four times the rows are left to choose from)."""
+    place = F.xxhash64(key)
+    share = 4 * (want + 100) / max(1, total)
+    if share < 1:
+        df = df.where(place < F.lit(int(-(2**63) + share * 2**64)))
+    return df.orderBy(place, key).limit(want)
