@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quernstone.session import written
+from quernstone.sources.tables import hashed_sample
 
 #: Pivots of a prefix; files a vector is posted in; candidates by footrule that are reranked.
 PREFIX, LISTS, KEPT = 10, 4, 60
@@ -132,7 +133,7 @@ def similar_vectors(reps: DataFrame, k: int, prefix: int = PREFIX, lists: int =
     m = min(MOST_PIVOTS, n, max(2, int(PIVOT_FACTOR * n**0.5)))
     if n < 2:
         return spark.createDataFrame([], "rep string, other string, cos double")
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(m).select("vec").collect()
+    sample = hashed_sample(reps, "rep", m, n).select("vec").collect()
     pivots = spark.sparkContext.broadcast(np.stack([np.frombuffer(bytes(r["vec"]), dtype=np.float32) for r in sample]))
     posted = reps.mapInArrow(_permute(pivots, prefix), "rep string, vec binary, prefix array<int>")
     posted = posted.select(F.explode(F.slice("prefix", 1, lists)).alias("pivot"), "rep", "vec", "prefix")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.session import settle
+
 GROUP_ITEMS = 20_000
 
 
@@ -55,6 +57,7 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, group_items: int = G
         raise ValueError("capacity must be at least 1")
     kind = df.select(key).schema[0].dataType.simpleString()
     items = df.where(df[key].isNotNull() & (df[size] > 0)).select(df[key].alias("id"), df[size].cast("long").alias("size"))
+    items = settle(items)  # sizes may be dear to compute, and are read twice
     groups = max(1, -(-items.count() // group_items))
     # Pieces go out before the groups are dealt: a giant item doesn't make its group larger.
     pieces = items.select(
