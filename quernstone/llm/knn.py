@@ -85,7 +85,7 @@ def _permute(pivots, prefix: int):
 
 
 def shared_weight(prefixes: np.ndarray) -> np.ndarray:
-    """For all pairs of prefixes (n, d), the smaller weights of their shared pivots, added up: the footrule distance is
+    """For all pairs of different prefixes (n, d), the smaller weights of their shared pivots, added up: the footrule distance is
     d * (d + 1) less twice that."""
     n, d = prefixes.shape
     out = np.zeros((n, n), dtype=np.float32)
