@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quernstone.functions.stem import stemmed
 from quernstone.functions.text import tokens
+from quernstone.session import settle
 
 BLOCK = 128
 
@@ -22,7 +24,7 @@ class Index:
     stats: DataFrame
     stem: bool = False
 
-    @property
+    @cached_property
     def postings(self) -> DataFrame:
         """(term, doc_id, dl, tf)"""
         return posted(self.terms, self.stem)
@@ -37,7 +39,8 @@ def posted(terms: DataFrame, stem: bool = False) -> DataFrame:
     """Postings of documents. With stemming, the distinct terms are stemmed, not every occurrence."""
     flat = terms.select("doc_id", "dl", F.explode("terms").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     if stem:
-        vocabulary = stemmed(flat.select("term").distinct())
+        # A table of its own: else filters on stems would be pushed through the stemmer's steps and blow up.
+        vocabulary = settle(stemmed(flat.select("term").distinct()))
         flat = flat.join(vocabulary, "term").groupBy("doc_id", "dl", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
     return flat.select("term", "doc_id", "dl", "tf")
 

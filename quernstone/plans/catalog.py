@@ -68,12 +68,12 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def passage_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id of the passage's document, vec_id, embedding) of passages with a usable vector, each once."""
+    """(doc_id, vec_id, embedding) of passages with a usable vector, each once; doc_id is the group of 100 ids a passage is in."""
     rows = S.clean_ids(S.table(spark, folder, "run_hnsw").where("id IS NOT NULL"), "id").where(
         (F.size("embedding") == 64) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     )
     one = rows.groupBy(F.col("id").cast("long").alias("vec_id")).agg(F.max("embedding").alias("embedding")).where("vec_id IS NOT NULL")
-    return one.select(F.expr("vec_id div 10").alias("doc_id"), "vec_id", "embedding")
+    return one.select(F.expr("vec_id div 100").alias("doc_id"), "vec_id", "embedding")
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
@@ -93,7 +93,7 @@ RUNS = (
 JUDGED = "SELECT qid, doc_id, max(rel) AS rel FROM qrels WHERE qid IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL"
 RECORDS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_id) AS r FROM expander WHERE rec_id IS NOT NULL) WHERE r = 1"
 PASSAGES = (
-    "SELECT vec_id // 10 AS doc_id, vec_id, embedding FROM (SELECT TRY_CAST(regexp_replace(id, '^b''(.*)''$', '\\1') AS BIGINT) AS vec_id, CAST(any_value(embedding) AS DOUBLE[]) AS embedding"
+    "SELECT vec_id // 100 AS doc_id, vec_id, embedding FROM (SELECT TRY_CAST(regexp_replace(id, '^b''(.*)''$', '\\1') AS BIGINT) AS vec_id, CAST(any_value(embedding) AS DOUBLE[]) AS embedding"
     " FROM run_hnsw WHERE id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
     " AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1) WHERE vec_id IS NOT NULL"
 )

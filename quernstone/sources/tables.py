@@ -96,7 +96,7 @@ def read_run(spark: SparkSession, path: str, top: int | None = None, qids: DataF
 
 def run_lines(run: DataFrame) -> DataFrame:
     """A run as lines (value), with six decimals, sorted by qid as a number where it is one, then by rank."""
-    line = F.format_string("%s Q0 %s %d %.6f %s", "qid", "doc_id", "rank", "score", "tag")
+    line = F.format_string("%s Q0 %s %d %.6f %s", "qid", "doc_id", "rank", F.bround("score", 6), "tag")
     return run.orderBy(F.expr("try_cast(qid AS bigint)").asc_nulls_last(), "qid", "rank").select(line.alias("value"))
 
 
