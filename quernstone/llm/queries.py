@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import knn, neardup, packing, pairs, sentences, termfreq, tokens, topn
+from quernstone.sources.tables import spread
 
 CONTAINER = 2048
 
@@ -13,6 +14,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work in Python; a table of fewer files than tasks is dealt over all tasks."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "search_result").where("qid IS NOT NULL")
     return topn.top_n_per_group(rows, ["qid", "tag"], "passage_id", "score", 10).select("qid", "tag", "passage_id")
@@ -54,16 +60,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs.broken_pairs(table(spark, folder, "expander"))
+    return pairs.broken_pairs(dealt(spark, folder, "expander", "rec_id", "original", "raw_expansions", "queries"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "expander").select("rec_id", "original", "queries")
+    rows = dealt(spark, folder, "expander", "rec_id", "original", "queries")
     return neardup.similar_pairs(rows, "rec_id", neardup.word_set("original", "queries"))
 
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "expander").select("rec_id", "original", "queries")
+    rows = dealt(spark, folder, "expander", "rec_id", "original", "queries")
     return neardup.grouped(rows, "rec_id", neardup.word_set("original", "queries"))
 
 
@@ -78,16 +84,16 @@ SELECT rec_a, rec_b FROM s JOIN n x ON x.rec_id = rec_a JOIN n y ON y.rec_id = r
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.encode_corpus(table(spark, folder, "documents").select("doc_id", "text"))
+    return tokens.encode_corpus(dealt(spark, folder, "documents", "doc_id", "text"))
 
 
 def p7_bins(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where("text <> ''").select("doc_id", "text")
+    docs = dealt(spark, folder, "documents", "doc_id", "text").where("text <> ''")
     return packing.pack(tokens.count_tokens(docs), "doc_id", "n_tokens", CONTAINER)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    units = sentences.sentence_units(table(spark, folder, "documents").select("doc_id", "text"))
+    units = sentences.sentence_units(dealt(spark, folder, "documents", "doc_id", "text"))
     return units.select("doc_id", "start_pos", "end_pos")
 
 
