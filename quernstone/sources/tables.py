@@ -94,10 +94,20 @@ def read_run(spark: SparkSession, path: str, top: int | None = None, qids: DataF
     return parse_run(spark.read.text(path), top, qids)
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*[c.to_pylist() for c in batch.columns])
+        out = [f"{qid} Q0 {doc} {rank} {float('nan') if score is None else score:.6f} {tag}" for qid, doc, rank, score, tag in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+
 def run_lines(run: DataFrame) -> DataFrame:
-    """A run as lines (value), with six decimals, sorted by qid as a number where it is one, then by rank."""
-    line = F.format_string("%s Q0 %s %d %.6f %s", "qid", "doc_id", "rank", F.bround("score", 6), "tag")
-    return run.orderBy(F.expr("try_cast(qid AS bigint)").asc_nulls_last(), "qid", "rank").select(line.alias("value"))
+    """A run as lines (value), with six decimals, sorted by qid as a number where it is one, then by rank.
+
+    The decimals are those of the double itself, as C prints them; the JVM would round its shortest decimal form.
+    """
+    rows = run.orderBy(F.expr("try_cast(qid AS bigint)").asc_nulls_last(), "qid", "rank").select("qid", "doc_id", "rank", "score", "tag")
+    return rows.mapInArrow(_lines, "value string")
 
 
 def write_run(run: DataFrame, path: str) -> None:
