@@ -2,14 +2,13 @@
 
 A bounded sample of the vectors serves as pivots. Every vector is represented
 by its nearest pivots in order (a prefix of its permutation) and posted in the
-inverted files of the first LISTS of them, with its prefix and its vector, so
-that a file is all one task needs. In each file the vectors that meet there are
-ranked by the footrule distance of their prefixes; the best KEPT of each are
-reranked by the cosine of the vectors, and the best k of all files are kept.
+inverted files of the first LISTS of them, with its vector, so that a file is
+all one task needs. In each file every vector is compared by cosine with all
+that meet there, and the best k of all files are kept.
 
-The footrule distance of two prefixes of length d, in which a missing pivot has
-place d + 1, is the sum of all weights (d + 1 - place) less twice the sum, over
-the shared pivots, of the smaller weight; the sum is added up pivot by pivot.
+A dense cluster would put many pivots into itself, and its members would be
+scattered over them nearly at random. So no two pivots are nearer than APART:
+a cluster denser than that has one pivot, and all its members meet.
 
 Exact copies are one vector here, whatever their number, and are written out at
 the end. A file that is too large for a task is cut into blocks, and every two
@@ -30,10 +29,12 @@ from pyspark.sql.window import Window
 from quernstone.session import written
 from quernstone.sources.tables import hashed_sample
 
-#: Pivots of a prefix; files a vector is posted in; candidates by footrule that are reranked.
-PREFIX, LISTS, KEPT = 10, 4, 60
+#: Files a vector is posted in.
+LISTS = 4
 #: Pivots for n vectors: PIVOT_FACTOR roots of n, MOST_PIVOTS at most (16 MB to a task at 64 numbers).
 PIVOT_FACTOR, MOST_PIVOTS = 8, 65_536
+#: Two pivots have at most this cosine.
+APART = 0.8
 #: Members of a file that meet in one task.
 BLOCK = 2_000
 #: Cosines are compared to this many decimals, beyond which single precision tells nothing.
@@ -65,6 +66,22 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=np.float32).reshape(len(rows), -1)
 
 
+def thinned(pivots: np.ndarray, apart: float = APART) -> np.ndarray:
+    """The pivots, of those nearer than apart to an earlier one that stays only that one."""
+    stays = np.ones(len(pivots), dtype=bool)
+    for at in range(0, len(pivots), 500):
+        part = pivots[at : at + 500]
+        own = stays[at : at + 500]
+        if at:
+            for low in range(0, at, 8_000):
+                own &= ~(part @ pivots[low : min(at, low + 8_000)][stays[low : min(at, low + 8_000)]].T > apart).any(axis=1)
+        near = part @ part.T > apart
+        for i in range(len(part)):
+            if own[i]:
+                own[i + 1 :] &= ~near[i, i + 1 :]
+    return pivots[stays]
+
+
 def _permute(pivots, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pivots.value.T.copy()
@@ -86,7 +103,7 @@ def _permute(pivots, prefix: int):
 
 def shared_weight(prefixes: np.ndarray) -> np.ndarray:
     """For all pairs of different prefixes (n, d), the smaller weights of their shared pivots, added up: the footrule distance is
-    d * (d + 1) less twice that."""
+    d * (d + 1) less twice that. A measure of the index only: all that meet are compared by cosine."""
     n, d = prefixes.shape
     out = np.zeros((n, n), dtype=np.float32)
     weight = np.tile(np.arange(d, 0, -1, dtype=np.float32), n)
@@ -101,32 +118,39 @@ def shared_weight(prefixes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _meet(k: int, kept: int):
+def _meet(k: int):
     def run(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        nothing = pa.table({"rep": pa.array([], pa.string()), "other": pa.array([], pa.string()), "cos": pa.array([], pa.float64())})
-        if n < 2:
-            return nothing
-        prefixes = np.asarray(table.column("prefix").combine_chunks().flatten()).reshape(n, -1)
-        block, vectors = table.column("block").to_numpy(), _matrix(table.column("vec"))
-        near = shared_weight(prefixes)
-        apart = block[:, None] != block[None, :] if block.min() != block.max() else ~np.eye(n, dtype=bool)
-        near[~apart] = -1
-        c = min(kept, n - 1)
-        found = np.argpartition(-near, c - 1, axis=1)[:, :c]
-        cos = np.einsum("nd,ncd->nc", vectors, vectors[found]).astype(np.float64) if n <= 256 else np.take_along_axis((vectors @ vectors.T).astype(np.float64), found, axis=1)
-        cos[np.take_along_axis(near, found, axis=1) < 0] = -np.inf
-        cos = np.round(cos, DECIMALS)
-        # all that tie with the k-th stay, for the ids to decide
-        limit = np.sort(cos, axis=1)[:, max(0, c - k)]
-        row, place = np.nonzero((cos >= limit[:, None]) & np.isfinite(cos))
+        reps, others, cosines = [], [], []
+        table = table.sort_by("rep")
+        block, vectors = table.column("block").to_numpy(), _matrix(table.column("vec")).astype(np.float64)
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        every = np.arange(table.num_rows)
+        low, high = every[block == block.min()], every[block == block.max()]
+        own = block.min() == block.max()
+        for rows, columns in [(every, every)] if own else [(low, high), (high, low)]:
+            n = len(columns)
+            c = min(k, n - 1 if own else n)
+            facing = vectors[columns].T.copy()
+            for at in range(0, len(rows) if c else 0, 256):
+                part = rows[at : at + 256]
+                cos = np.rint(vectors[part] @ facing * 10**DECIMALS).astype(np.int64)
+                # of equal cosines the smaller id is first
+                rank = cos * n - np.arange(n)
+                if own:
+                    rank[np.arange(len(part)), part] = np.iinfo(np.int64).min
+                found = np.argpartition(rank, n - c, axis=1)[:, n - c :]
+                reps.append(np.repeat(part, c))
+                others.append(columns[found.ravel()])
+                cosines.append(np.take_along_axis(cos, found, axis=1).ravel() / 10**DECIMALS)
         ids = table.column("rep").combine_chunks()
-        return pa.table({"rep": ids.take(pa.array(row)), "other": ids.take(pa.array(found[row, place])), "cos": cos[row, place]})
+        if not reps:
+            return pa.table({"rep": ids[:0], "other": ids[:0], "cos": pa.array([], pa.float64())})
+        return pa.table({"rep": ids.take(pa.array(np.concatenate(reps))), "other": ids.take(pa.array(np.concatenate(others))), "cos": np.concatenate(cosines)})
 
     return run
 
 
-def similar_vectors(reps: DataFrame, k: int, prefix: int = PREFIX, lists: int = LISTS, kept: int = KEPT, block: int = BLOCK) -> DataFrame:
+def similar_vectors(reps: DataFrame, k: int, lists: int = LISTS, block: int = BLOCK) -> DataFrame:
     """The k most similar other vectors of every distinct vector (rep string, vec binary): columns rep, other, cos."""
     spark = reps.sparkSession
     n = reps.count()
@@ -134,16 +158,16 @@ def similar_vectors(reps: DataFrame, k: int, prefix: int = PREFIX, lists: int =
     if n < 2:
         return spark.createDataFrame([], "rep string, other string, cos double")
     sample = hashed_sample(reps, "rep", m, n).select("vec").collect()
-    pivots = spark.sparkContext.broadcast(np.stack([np.frombuffer(bytes(r["vec"]), dtype=np.float32) for r in sample]))
-    posted = reps.mapInArrow(_permute(pivots, prefix), "rep string, vec binary, prefix array<int>")
-    posted = posted.select(F.explode(F.slice("prefix", 1, lists)).alias("pivot"), "rep", "vec", "prefix")
+    pivots = spark.sparkContext.broadcast(thinned(np.stack([np.frombuffer(bytes(r["vec"]), dtype=np.float32) for r in sample])))
+    posted = reps.mapInArrow(_permute(pivots, lists), "rep string, vec binary, prefix array<int>")
+    posted = posted.select(F.explode("prefix").alias("pivot"), "rep", "vec")
     # As many rows as there are pivots at most, so their size is bounded.
     size = posted.groupBy("pivot").count().select("pivot", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("many"))
     held = posted.join(F.broadcast(size), "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("many")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).select(
-        "pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "vec", "prefix"
+        "pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "vec"
     )
-    met = held.groupBy("pivot", "low", "high").applyInArrow(_meet(k, kept), "rep string, other string, cos double")
+    met = held.groupBy("pivot", "low", "high").applyInArrow(_meet(k), "rep string, other string, cos double")
     best = met.groupBy("rep", "other").agg(F.max("cos").alias("cos"))
     place = Window.partitionBy("rep").orderBy(F.desc("cos"), F.asc("other"))
     return best.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).drop("place")

@@ -28,6 +28,18 @@ def test_recall_against_brute_force(spark):
     assert len(got & want) / len(want) >= 0.95
 
 
+def test_dense_third(spark):
+    rng = np.random.default_rng(5)
+    for noise in (0.25, 1e-3, 0.0):
+        x = clustered(900, 64, 6)
+        x[:300] = x[0] * (1 + rng.random((300, 1))) + rng.normal(size=(300, 64)) * noise
+        ids = [f"{n:03}" for n in range(900)]
+        df = spark.createDataFrame(list(zip(ids, x.tolist())), "id string, embedding array<float>")
+        got = {tuple(r) for r in knn.neighbour_pairs(df, "id", "embedding", 64, 5).collect()}
+        want = {p for p in pairs_of(x.astype(np.float64), ids, 5) if max(p) < "300"}
+        assert len(got & want) / len(want) >= 0.95
+
+
 def test_blocks_lose_nothing(spark):
     x = clustered(300, 8, 4)
     rows = spark.createDataFrame([(f"{n:03}", (v / np.linalg.norm(v)).astype(np.float32).tobytes()) for n, v in enumerate(x)], "rep string, vec binary")
