@@ -16,6 +16,8 @@ from quernstone.operators import dense, expand, fusion, index, metrics, provider
 from quernstone.sources import tables as S
 
 K = 10
+#: What a hybrid search takes of each list, and gives.
+DEPTH = 1000
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -381,13 +383,22 @@ def hybrid_qid_filter(spark, folder):
     " SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank, score FROM s"
 )
 def hybrid_search(spark, folder):
+    return _hybrid(spark, folder, K)
+
+
+def _hybrid(spark: SparkSession, folder: str, depth: int) -> DataFrame:
     queries, docs = asked(spark, folder), vectors(spark, folder)
-    left = sparse.bm25(index.build_index(documents(spark, folder)), queries, K)
+    left = sparse.bm25(index.build_index(documents(spark, folder)), queries, depth)
     own = queries.select("qid", (F.col("qid").cast("long") % 100).alias("doc_id")).join(docs, "doc_id").select(F.col("qid").cast("long").alias("qid"), "embedding")
-    right = dense.dense_search(own, docs, K).withColumn("qid", F.col("qid").cast("string"))
+    right = dense.dense_search(own, docs, depth).withColumn("qid", F.col("qid").cast("string"))
     return found(fusion.rrf([left, right]))
 
 
+@query(f"SELECT * FROM ({ORACLES['hybrid_search'].replace(f'rank <= {K}', f'rank <= {DEPTH}')}) WHERE rank <= {DEPTH}")
+def hybrid_search_deep(spark, folder):
+    return _hybrid(spark, folder, DEPTH)
+
+
 @query(f"SELECT printf('%s Q0 %s %d %.6f %s', qid, doc_id, rank, score, tag) AS value FROM ({RUNS})")
 def run_file_lines(spark, folder):
     return S.run_lines(runs(spark, folder))

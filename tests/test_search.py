@@ -72,3 +72,19 @@ def test_rrf(spark):
     assert got == {"y": 0.032522, "x": 0.016393, "w": 0.016129, "z": 0.015873}
     assert sorted(map(tuple, fusion.rrf([b, a]).collect())) == sorted(map(tuple, fusion.rrf([a, b]).collect()))
     assert {r["doc_id"] for r in fusion.rrf([a, b], depth=1).collect()} == {"x", "y"}
+
+
+def test_hybrid_search_takes_whole_lists(spark, tmp_path):
+    from quernstone.plans import catalog
+
+    # of query 0, passage 11 is twelfth in both lists and each list has other passages before it
+    words = {n: "apple " * (30 - n) + "filler " * n for n in range(12)}
+    docs = [(n if n == 11 else 100 + n, w) for n, w in words.items()] + [(200 + n, "zebra") for n in range(40)]
+    vectors = [(0, [1.0, 0.0])] + [(300 + n, [1.0, 0.01 * n]) for n in range(1, 11)] + [(11, [1.0, 0.2])] + [(400 + n, [1.0, 1.0 + n]) for n in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([("0", "apple")], "qid string, text string").selectExpr("*", "'dev' AS set_name", "timestamp '2020-01-01' AS created_at").write.parquet(f"{tmp_path}/queries.parquet")
+    rows = catalog.QUERIES["hybrid_search_deep"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["rank"] for r in rows}[11] == 1
+    assert len(rows) == 12 + 42 - 1
+    assert next(r["score"] for r in rows if r["doc_id"] == 11) == pytest.approx(2 / 72, abs=1e-9)
