@@ -86,8 +86,8 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
     ],
     "abbreviations that may end a sentence": [
         (False, _words("Inc", "Ltd", "Co", "Corp", "Cía", "Cía", "S.A", "GmbH", "Jr", "Sr", "Bros", "etc", "usw", "usf", "etw", "a.m", "p.m", "Ph.D", "M.D", "B.A", "M.A", "cents?", "ft", "in", "oz", "lbs?", "hrs?", "u.Co"), GOES_ON),
-        (False, NOT_WORD + r"(?:\p{L}\.){2,}", rf"(?:{GOES_ON}|\s+\d)"),
-        (False, NOT_WORD + r"(?:\p{Lu}\.){2,}", rf"\s+(?!{OPENERS})\p{{Lu}}\p{{Ll}}+\s+(?:\p{{Lu}})"),
+        (False, NOT_WORD + r"(?:\p{L}\.){2}", rf"(?:{GOES_ON}|\s+\d)"),
+        (False, NOT_WORD + r"(?:\p{Lu}\.){2}", rf"\s+(?!{OPENERS})\p{{Lu}}\p{{Ll}}+\s+(?:\p{{Lu}})"),
         (False, r"(?<![\p{L}\p{M}\p{N}'’-])\p{Lu}\p{M}*\.", rf"\s*(?!{OPENERS})(?:\p{{Lu}}\p{{M}}?[\p{{Ll}}'’.])"),
         (False, r"(?<![\p{L}\p{M}\p{N}'’-])\p{Lu}\.", GOES_ON),
     ],
@@ -99,7 +99,7 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
         (False, r"(?:^|\s)(?:…|\.\.)[.…]*", r"\s*\S"),
     ],
     "th": [
-        (False, r"(?:\p{Thai}\.)+", r"\s+[\p{Thai}\d]"),
+        (False, r"\p{Thai}\.", r"\s+[\p{Thai}\d]"),
         (False, r"[ๆฯ๐-๙]", r"\s"),
         (False, r"\p{Thai}", r"\s+(?:[๐-๙]|และ|หรือ|แต่|ซึ่ง|เพราะ)"),
         (True, r"\p{Thai}", r"\s+\p{Thai}"),
@@ -111,6 +111,10 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
     ],
 }
 
+#: What closes quoted speech that a mark opens, and what must not come before that.
+QUOTES = {'"': ('"', ""), "“": ("”", "“"), "„": ("“”\"", "„"), "«": ("»", ""), "「": ("」", ""), "『": ("』", ""), "‘": ("’", "‘")}
+QUOTE_MARKS = "\"“”„«»「」『』‘’"
+
 _BLANK = r"(?>\r\n|\r|\n)[^\S\r\n]*(?>\r\n|\r|\n)"
 _ITEM = r"[^\S\r\n]*(?:(?P<bullet>[-*•–—·▪◦‣●○■])[^\S\r\n]+|(?P<number>\d{1,3})[.)][^\S\r\n]+|\(?(?P<letter>[a-zA-Z])\)[^\S\r\n]+|\((?P<inner>\d{1,3})\)[^\S\r\n]+)(?=\S)"
 
@@ -124,30 +128,61 @@ class Segmenter:
         rules = [rule for table in (tables or TABLES).values() for rule in table]
         self.breaks = [b for b, _, _ in rules]
         self.decide = regex.compile("|".join(f"((?<={before})(?={after}))" if before else f"((?={after}))" for _, before, after in rules)).match
-        # One pass finds quoted speech (whole) and the positions to decide on.
-        quoted = (
-            r"(?<![\p{L}\p{N}])\"(?=\S)[^\"]*\"|“(?=\S)[^”“]*”|„[^“”\"]*[“”\"]|«[^»]*»|「[^」]*」|『[^』]*』|‘(?=\S)[^’‘]*’(?!\p{L})"
-        )
-        self.spots = regex.compile(
-            rf"(?P<quote>{quoted})[{CLOSERS}]*(?P<more>[{MARKS}]+[{CLOSERS}]*)?"
-            rf"|(?P<mark>[{MARKS}]+(?:[{CLOSERS}]|(?<=[!?…])\s?»)*)"
-            r"|(?<=[\p{Thai}])(?P<gap>\s+)(?=\p{Thai})"
-        ).finditer
+        # Positions to decide on, and the marks that may open quoted speech.
+        self.spot = regex.compile(
+            rf"(?P<open>[\"“„«「『‘])|(?P<mark>[{MARKS}]+(?:[{CLOSERS}]|(?<=[!?…])\s?»)*)|(?<=[\p{{Thai}}])(?P<gap>\s+)(?=\p{{Thai}})"
+        ).search
+        self.quotes = regex.compile(f"[{QUOTE_MARKS}]").finditer
+        self.after = regex.compile(rf"[{CLOSERS}]*(?P<more>[{MARKS}]+[{CLOSERS}]*)?").match
+        self.letter = regex.compile(r"\p{L}").match
+        self.in_word = regex.compile(r"[\p{L}\p{N}]").match
         self.said = regex.compile(rf"[{MARKS}]\s?[{CLOSERS}“]+$").search
         self.blank = regex.compile(_BLANK + r"\s*").finditer
         self.line = regex.compile(r"[^\r\n]*(?>\r\n|\r|\n|$)").finditer
         self.item = regex.compile(_ITEM).match
         self.ended = regex.compile(rf"[{MARKS}:：][{CLOSERS}]*\s*$").search
 
+    def _quoted(self, text: str, start: int, end: int) -> dict[int, int]:
+        """Where the quoted speech ends that an opening mark begins: the next closing mark of each is known from the
+        right, so a stretch is read once however many of its quotes stay open."""
+        ends, later = {}, dict.fromkeys(QUOTE_MARKS, end)
+        for p in reversed([m.start() for m in self.quotes(text, start, end)]):
+            mark = text[p]
+            if mark in QUOTES:
+                closing, never = QUOTES[mark]
+                q = min(later[c] for c in closing)
+                if q < end and all(later[c] > q for c in never):
+                    ends[p] = q + 1
+            later[mark] = p
+        return ends
+
+    def _speech(self, text: str, p: int, q: int) -> bool:
+        """Whether marks at p and before q hold quoted speech, and not an apostrophe or an inch."""
+        mark = text[p]
+        if mark in "\"“‘" and text[p + 1].isspace():
+            return False
+        if mark == '"':
+            return not p or not self.in_word(text, p - 1)
+        return mark != "‘" or not self.letter(text, q)
+
     def _prose(self, text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         """Units of text[start:end], a stretch without blank lines or list items."""
-        at = start
-        for m in self.spots(text, start, end):
-            p = m.end()
+        at = here = start
+        ends = None
+        while m := self.spot(text, here, end):
+            p = here = m.end()
             if m.lastgroup == "gap":
                 p = m.start()
-            elif m.group("quote") is not None and m.group("more") is None and not self.said(text, m.start(), p):
-                continue
+            elif m.lastgroup == "open":
+                if ends is None:
+                    ends = self._quoted(text, start, end)
+                q = ends.get(m.start())
+                if q is None or not self._speech(text, m.start(), q):
+                    continue
+                more = self.after(text, q, end)
+                p = here = more.end()
+                if more["more"] is None and not self.said(text, m.start(), p):
+                    continue
             if p >= end:
                 break
             rule = self.decide(text, p)
