@@ -1,13 +1,16 @@
 """Problem 1: the N best items of every group, by partition lower bounds.
 
 Every partition of the scan finds, without a shuffle, its own N best items of
-each group. The score of its N-th best item is a lower bound of the group's
-true N-th best score, whichever partition it comes from. The largest bound of
-each group is joined to the partitions' survivors, which filters nearly all of
-a large group before anything is ranked; the rest is ranked once.
-
-A group with a third of all rows sends at most N rows per scan partition over
-the network, so no task ever holds such a group.
+each group and writes them once to the shared folder. Its N-th best item is a
+lower bound of the group's true N-th best, whichever partition it comes from.
+The largest bound of each group is joined to these survivors where they lie, as
+a broadcast while its measured size allows, which drops nearly all of a large
+group before anything is shuffled; the rest is ranked once.
+
+A bound is a score with an item, in the order of the ranking, so even a group
+of equal scores is cut down to N rows a partition before the join and to N of
+all that matter after it. A group with a third of all rows sends hardly more
+than N rows over the network.
 """
 
 from __future__ import annotations
@@ -20,8 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.session import written
+
 #: Rows a task gathers before it prunes them to the best N of each group.
 PRUNE_ROWS = 1_000_000
+#: Bytes of bounds that go to every task; more are joined by a shuffle on the groups, which the ranking uses again.
+BROADCAST_BYTES = 32_000_000
 
 
 def _order(column: pa.ChunkedArray) -> np.ndarray:
@@ -35,7 +42,7 @@ def _order(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _prune(table: pa.Table, n: int, groups: int) -> pa.Table:
-    """The best n distinct items of each group of a table, and at each row the n-th best score of its group here."""
+    """The best n distinct items of each group of a table, and at the n-th best of its group here a mark."""
     keys = [_order(table.column(i)) for i in range(groups)]
     item, score = _order(table.column(groups)), table.column(groups + 1).to_numpy()
     group = np.zeros(len(item), dtype=np.int64)
@@ -48,15 +55,10 @@ def _prune(table: pa.Table, n: int, groups: int) -> pa.Table:
     by = by[np.lexsort((item[by], -score[by], group[by]))]
     g = group[by]
     start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    size = np.diff(np.r_[start, len(g)])
-    place = np.arange(len(g)) - np.repeat(start, size)
-    full = size >= n
-    bound = np.full(len(start), np.nan)
-    bound[full] = score[by][start[full] + n - 1]
+    place = np.arange(len(g)) - np.repeat(start, np.diff(np.r_[start, len(g)]))
     keep = place < n
     kept = table.take(pa.array(by[keep]))
-    bounds = np.repeat(bound, size)[keep]
-    return kept.select(range(groups + 2)).append_column("bound", pa.array(bounds, mask=np.isnan(bounds)))
+    return kept.select(range(groups + 2)).append_column("is_bound", pa.array(place[keep] == n - 1))
 
 
 def _survivors(n: int, groups: int):
@@ -91,11 +93,20 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], item: str, score: str, n
     rows = df.where(df[item].isNotNull() & df[score].isNotNull() & ~F.isnan(df[score].cast("double"))).select(
         *marked, df[item].cast("string").alias("item"), (df[score].cast("double") + F.lit(0.0)).alias("score")
     )
-    schema = ", ".join([*(f"{g} string" for g in names), "item string, score double, bound double"])
-    local = rows.mapInArrow(_survivors(n, len(names)), schema).repartition(*names)
-    bounds = local.groupBy(*names).agg(F.max("bound").alias("lower_bound"))
-    left = local.drop("bound").join(bounds, names).where(F.col("lower_bound").isNull() | (F.col("score") >= F.col("lower_bound")))
-    best = left.groupBy(*names, "item").agg(F.max("score").alias("score"))
+    schema = ", ".join([*(f"{g} string" for g in names), "item string, score double, is_bound boolean"])
+    local = written(rows.mapInArrow(_survivors(n, len(names)), schema), "survivors")
+    # Of equal bounds the smaller item is the tighter one.
+    tightest = F.min(F.struct((-F.col("score")).alias("score"), "item"))
+    bounds = written(local.where("is_bound").groupBy(*names).agg(tightest.alias("bound")), "bounds")
+    width = sum((F.octet_length(g) for g in [*names, "bound.item"]), F.lit(64))
+    small = (bounds.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES
+    joined = local.drop("is_bound").join(F.broadcast(bounds) if small else bounds, names, "left")
+    ahead = -F.col("score")
+    left = joined.where(
+        F.col("bound").isNull() | (ahead < F.col("bound.score")) | ((ahead == F.col("bound.score")) & (F.col("item") <= F.col("bound.item")))
+    ).drop("bound")
+    # One exchange by group serves the last deduplication and the ranking.
+    best = left.repartition(*names).groupBy(*names, "item").agg(F.max("score").alias("score"))
     place = Window.partitionBy(*names).orderBy(F.desc("score"), F.asc("item"))
     ranked = best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= n)
     types = dict(df.dtypes)

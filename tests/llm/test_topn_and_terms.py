@@ -35,6 +35,22 @@ def test_against_brute_force(spark, monkeypatch):
         assert found(df, n) == best(rows, n)
 
 
+def test_bounds_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(topn, "BROADCAST_BYTES", 0)
+    rows = [("g", "t", str(i), 1.0) for i in range(300)] + [("h", None, str(i), float(i % 7)) for i in range(40)]
+    df = spark.createDataFrame([(*r, "z", "z", 9.0) for r in rows], SCHEMA).repartition(6)
+    assert found(df, 4) == best(rows, 4)
+
+
+def test_only_what_reaches_the_bound_is_shuffled(spark):
+    """One scan, pruned once, and the filter stands before the only exchange of the rows."""
+    df = spark.range(40_000).select(F.lit("g").alias("qid"), F.lit("t").alias("tag"), F.col("id").cast("string").alias("passage_id"), F.lit(1.0).alias("score"))
+    ranked = topn.top_n_per_group(df.repartition(4), ["qid", "tag"], "passage_id", "score", 10)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin") and ranked.count() == 10
+
+
 def test_pruning_while_gathering(spark, monkeypatch):
     df = spark.range(20_000).select(F.lit("g").alias("qid"), F.lit("t").alias("tag"), F.col("id").cast("string").alias("passage_id"), (F.col("id") % 1000).cast("double").alias("score"))
     run = topn._survivors(5, 2)
@@ -43,7 +59,7 @@ def test_pruning_while_gathering(spark, monkeypatch):
 
     table = pa.table({"g0": ["=g"] * 1000, "g1": ["=t"] * 1000, "item": [str(n) for n in range(1000)], "score": [float(n % 100) for n in range(1000)]})
     out = pa.Table.from_batches(list(run(iter(table.to_batches(max_chunksize=64)))))
-    assert out.num_rows == 5 and set(out["score"].to_pylist()) == {99.0} and set(out["bound"].to_pylist()) == {99.0}
+    assert out.num_rows == 5 and set(out["score"].to_pylist()) == {99.0} and sum(out["is_bound"].to_pylist()) == 1
     assert len(found(df, 5)) == 5
 
 
