@@ -1,16 +1,18 @@
 """Problem 2: frequency of every distinct term, by recursive radix spilling.
 
-The hash of a term is cut into radix digits. A first pass counts the rows of
-every bucket of the first digit; a bucket over the capacity is counted again by
-the next digit, and so on, until every bucket fits or holds one hash only (one
-hot term). Such a bucket is cut by the hash of the record instead, which keeps
-all rows of a (term, record) pair together, and its partial sums are added up
-at the end. The buckets are packed into partitions of about the capacity, which
-Spark's shuffle spills to disk; each partition is then aggregated by DuckDB,
-out of core below the shared folder.
-
-Only counts of buckets come to the driver: at most 2^RADIX_BITS a level for
-each bucket that is too large, of which there are at most rows / capacity.
+The first bits of a term's hash, as many as the number of rows asks for, name
+its partition. A pass counts the partitions; one over the capacity is split by
+further bits of the hash, as many as its own rows ask for, and counted again. A
+partition of one hash only (one hot term), or one that further bits don't bring
+under the capacity, is split by the hash of the record instead, which keeps all
+rows of a (term, record) pair together; its partial sums are added up at the
+end. Spark's shuffle spills the partitions to disk, and each is aggregated by
+DuckDB, out of core below the shared folder.
+
+A partition's place is computed from the hash. Only those that are split stand
+in a table, one row each; there are no more than rows / capacity of them, and
+the capacity grows beyond MOST times its size, so the table that is broadcast
+has MOST rows at most, whatever the data.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quernstone.session import durable_folder, scratch_path
+from quernstone.session import durable_folder, scratch_path, written
 
-RADIX_BITS, LEVELS = 8, 6
-#: Rows of a partition: some 100 MB in DuckDB.
-CAPACITY = 4_000_000
+#: Passes that count, and the bits that a split takes at least.
+LEVELS, LEAST_BITS = 3, 4
+#: Rows of a partition: some 100 MB in DuckDB. Larger inputs have larger partitions, so that there are 2 * MOST or so.
+CAPACITY, MOST = 4_000_000, 32_768
 #: Rows that are worth a task of their own.
 LEAST = 100_000
 #: What Unicode calls white space.
@@ -39,51 +43,63 @@ def normal_term(term: Column) -> Column:
     return F.lower(F.regexp_replace(term, f"^[{WHITE}]+|[{WHITE}]+$", ""))
 
 
-def _digit(h: str, level: int) -> Column:
-    return F.shiftrightunsigned(F.col(h), 64 - RADIX_BITS * (level + 1)).bitwiseAND(F.lit((1 << RADIX_BITS) - 1)).cast("long")
-
-
-def _prefix(h: str, level: int) -> Column:
-    """All digits up to a level, as one number."""
-    return F.shiftrightunsigned(F.col(h), 64 - RADIX_BITS * (level + 1))
-
-
-def _counts(rows: DataFrame, level: int, within: list[int]) -> dict[int, int]:
-    if level:
-        rows = rows.where(_prefix("h", level - 1).isin(within))
-    return {r["b"]: r["count"] for r in rows.groupBy(_prefix("h", level).alias("b")).count().collect()}
-
-
-def radix_plan(rows: DataFrame, capacity: int, tasks: int = 1) -> tuple[list[tuple[int, int, int]], int]:
-    """Leaf buckets (level, prefix, rows) that fit the capacity, and those of one hot hash, at level LEVELS; the
-    capacity, lowered (to LEAST at least) where fewer rows are left for each of the tasks that can run at once."""
-    leaves, open_, level = [], [], 0
-    while level < LEVELS:
-        counts = _counts(rows, level, open_)
-        if not level:
-            capacity = min(capacity, max(LEAST, -(-sum(counts.values()) // tasks)))
-        leaves += [(level, b, c) for b, c in counts.items() if c <= capacity]
-        open_ = [b for b, c in counts.items() if c > capacity]
-        if not open_:
+def _digit(used: str, bits: str) -> Column:
+    """The bits of h after the first used ones."""
+    return F.expr(f"shiftrightunsigned(h, 64 - {used} - {bits}) & (shiftleft(1L, {bits}) - 1)").cast("int")
+
+
+def bits_for(rows: int, capacity: int) -> int:
+    """Bits whose partitions are half full on average (all, where one is enough)."""
+    return 0 if rows <= capacity else (-(-2 * rows // capacity) - 1).bit_length()
+
+
+def radix_placed(rows: DataFrame, n: int, capacity: int) -> tuple[DataFrame, int, bool]:
+    """Of n rows (term, doc, freq, h): the rows with their partition (target), the number of partitions, and whether
+    some are split by record."""
+    bits = bits_for(n, capacity)
+    placed = rows.select("*", _digit("0", str(bits)).alias("target"), F.lit(bits).alias("used"), F.lit(False).alias("late"))
+    parts, new, by_record = 1 << bits, 0, False
+    if not bits:
+        return placed, parts, by_record
+    for level in range(LEVELS + 1):
+        found = placed.where(F.col("target") >= new).groupBy("target", "used", "late").agg(F.count(F.lit(1)).alias("n"), (F.min("h") == F.max("h")).alias("one"))
+        needed = F.greatest(F.lit(LEAST_BITS), F.ceil(F.log2(2 * F.col("n") / F.lit(capacity)))).cast("int")
+        over = found.where(F.col("n") > capacity).select(
+            F.col("target").alias("old"),
+            F.col("late").alias("stays"),
+            (F.col("one") | F.lit(level >= LEVELS - 1) | (F.col("used") + needed > 64)).alias("by_record"),
+            needed.alias("bits"),
+            F.ceil(2 * F.col("n") / F.lit(capacity)).cast("int").alias("lots"),
+        )
+        over = over.withColumn("pieces", F.when(F.col("stays"), 0).when(F.col("by_record"), F.col("lots")).otherwise(F.expr("shiftleft(1, bits)")))
+        so_far = Window.orderBy("old").rowsBetween(Window.unboundedPreceding, -1)  # over MOST rows at most
+        over = written(over.withColumn("base", (F.lit(parts) + F.coalesce(F.sum("pieces").over(so_far), F.lit(0))).cast("int")), "splits")
+        more, repeated, hot = over.agg(F.sum("pieces"), F.count(F.when(F.col("stays"), 1)), F.count(F.when(F.col("by_record") & ~F.col("stays"), 1))).first()
+        if repeated:  # more than a capacity of rows of one term and record, which are one row
+            late = placed.where("late").groupBy("term", "doc", "target").agg(F.max("freq").alias("freq"))
+            placed = placed.where("NOT late").select("term", "doc", "freq", "target").unionByName(late)
+        if repeated or not more:
             break
-        level += 1
-        if level == LEVELS:
-            leaves += [(LEVELS, b, counts[b]) for b in open_]
-    return leaves, capacity
-
-
-def _aggregate(folder: str | None, memory: str):
+        apart = F.when(F.col("by_record"), F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int")).otherwise(_digit("used", "bits"))
+        placed = placed.join(F.broadcast(over.where("NOT stays")), F.col("target") == F.col("old"), "left").select(
+            *rows.columns,
+            F.coalesce(F.col("base") + apart, F.col("target")).alias("target"),
+            (F.col("used") + F.coalesce("bits", F.lit(0))).alias("used"),
+            (F.col("late") | F.coalesce("by_record", F.lit(False))).alias("late"),
+        )
+        new, parts, by_record = parts, parts + more, by_record or hot > 0
+    return placed, parts, by_record
+
+
+def _aggregate(folder: str, memory: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
         first = next(batches, None)
         if first is None:
             return
-        config = {"threads": 1, "memory_limit": memory, "preserve_insertion_order": False}
-        own = f"{folder}/radix-{uuid.uuid4().hex}" if folder else None
-        if own:
-            config["temp_directory"] = own
-        con = duckdb.connect(":memory:", config=config)
+        own = f"{folder}/radix-{uuid.uuid4().hex}"
+        con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False, "temp_directory": own})
         try:
 
             def stream():
@@ -100,50 +116,33 @@ def _aggregate(folder: str | None, memory: str):
                 yield batch.cast(pa.schema([("term", pa.string()), ("freq", pa.int64()), ("docs", pa.int64())]))
         finally:
             con.close()
-            if own:
-                shutil.rmtree(own, ignore_errors=True)
+            shutil.rmtree(own, ignore_errors=True)
 
     return run
 
 
-def term_frequencies(df: DataFrame, term: str, doc: str, freq: str, capacity: int = CAPACITY, memory: str = "400MB") -> DataFrame:
+def term_frequencies(df: DataFrame, term: str, doc: str, freq: str, capacity: int = CAPACITY, memory: str = "400MB", scratch: str | None = None) -> DataFrame:
     """Of every distinct term: freq (sum over records) and docs (number of records); columns term, freq, docs.
 
     Terms are compared without surrounding white space and in lower case; a term of white space only is the term ''.
     Rows with a null term, doc or freq, or a freq below 1, don't count. A term and record in several rows count once,
     with the largest freq. Further columns are ignored, an empty table gives an empty result. capacity: rows of a
-    partition; memory: of a DuckDB instance, beyond which it spills below the shared folder.
+    partition; memory: of a DuckDB instance, beyond which it spills below scratch, a path all executors see: the shared
+    folder where that is a file path; else it must be given.
     """
     spark = df.sparkSession
+    scratch = scratch or scratch_path(durable_folder(spark))
+    if scratch is None:
+        raise ValueError("spark.checkpoint.dir is no file path; give scratch, a mounted path for DuckDB's spill")
     rows = df.where(df[term].isNotNull() & df[doc].isNotNull() & (df[freq] >= 1)).select(
         normal_term(df[term].cast("string")).alias("term"), df[doc].cast("string").alias("doc"), df[freq].cast("long").alias("freq")
     ).withColumn("h", F.xxhash64("term"))
-    leaves, capacity = radix_plan(rows, capacity, spark.sparkContext.defaultParallelism)
-    capacity = max(1, capacity)
-    # Pack neighbouring buckets into partitions of about the capacity.
-    place, part, held, hot = {}, 0, 0, []
-    for level, prefix, count in sorted(leaves, key=lambda x: (x[0] == LEVELS, x[1] << (RADIX_BITS * (LEVELS - x[0])))):
-        if level == LEVELS:
-            hot.append((prefix, -(-count // capacity)))
-            continue
-        if held and held + count > capacity:
-            part, held = part + 1, 0
-        place[level, prefix] = part
-        held += count
-    part += bool(held)
-    target, split = F.lit(None).cast("int"), F.lit(False)
-    for level in sorted({k for k, _ in place}):
-        known = F.create_map(*[F.lit(x) for (k, b), p in place.items() if k == level for x in (b, p)])
-        target = F.coalesce(target, F.try_element_at(known, _prefix("h", level)))
-    for prefix, pieces in hot:
-        here = _prefix("h", LEVELS - 1) == F.lit(prefix)
-        target = F.when(here, (F.lit(part) + F.pmod(F.xxhash64("doc"), F.lit(pieces))).cast("int")).otherwise(target)
-        part += pieces
-    if not part:
-        return spark.createDataFrame([], "term string, freq long, docs long")
-    moved = rows.withColumn("target", target).repartitionById(part, "target").select("term", "doc", "freq")
-    found = moved.mapInArrow(_aggregate(scratch_path(durable_folder(spark)), memory), "term string, freq long, docs long")
-    return found.groupBy("term").agg(F.sum("freq").alias("freq"), F.sum("docs").alias("docs")) if hot else found
+    n = df.count()  # from the files' footers; those that don't count included
+    capacity = max(1, min(capacity, max(LEAST, -(-n // spark.sparkContext.defaultParallelism))), -(-n // MOST))
+    placed, parts, by_record = radix_placed(rows, n, capacity)
+    moved = placed.repartitionById(parts, "target").select("term", "doc", "freq")
+    found = moved.mapInArrow(_aggregate(scratch, memory), "term string, freq long, docs long")
+    return found.groupBy("term").agg(F.sum("freq").alias("freq"), F.sum("docs").alias("docs")) if by_record else found
 
 
 def counted_records(df: DataFrame, term: str, doc: str, freq: str) -> int:

@@ -98,10 +98,37 @@ def test_terms_against_brute_force(spark, capacity, monkeypatch):
     assert marks == {t: "rare" if f <= 3 else "common" if n > 0.5 * len(records) else None for t, (f, n) in counts(rows).items()}
 
 
+def placed(df, capacity, n=None):
+    rows = df.select("term", F.col("doc").cast("string").alias("doc"), F.col("freq").cast("long").alias("freq")).withColumn("h", F.xxhash64("term"))
+    return termfreq.radix_placed(rows, n or df.count(), capacity)
+
+
 def test_hot_terms_are_cut_by_record(spark):
-    rows = spark.range(600).select(F.lit("hot").alias("term"), F.col("id").cast("string").alias("doc"), F.lit(1).alias("freq")).withColumn("h", F.xxhash64("term"))
-    leaves, capacity = termfreq.radix_plan(rows, 100)
-    assert [x[0] for x in leaves] == [termfreq.LEVELS] and leaves[0][2] == 600 and capacity == 100
+    df = spark.range(6_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("t"), "id")).alias("term"), F.col("id").alias("doc"), F.lit(1).alias("freq"))
+    got, parts, by_record = placed(df, 300)
+    held = {r["target"]: (r["count"], r["terms"]) for r in got.groupBy("target").agg(F.count(F.lit(1)).alias("count"), F.collect_set("term").alias("terms")).collect()}
+    assert by_record and max(held) < parts and max(n for n, _ in held.values()) <= 300 and sum("hot" in t for _, t in held.values()) > 13
+    assert all(len(t) == 1 or "hot" not in t for _, t in held.values())
+
+
+def test_one_pair_in_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(termfreq, "LEAST", 10)
+    df = spark.range(4_000).select(F.lit("hot").alias("term"), F.greatest(F.col("id") - 3_500, F.lit(0)).alias("doc"), (F.col("id") % 5 + 1).alias("freq"))
+    got, _, _ = placed(df, 300)
+    assert got.count() < 600
+    assert termfreq.term_frequencies(df, "term", "doc", "freq", 300).collect() == [("hot", 5 + sum(n % 5 + 1 for n in range(3_501, 4_000)), 500)]
+
+
+def test_the_plan_does_not_grow_with_the_buckets(spark):
+    df = spark.range(50_000).select(F.col("id").cast("string").alias("term"), F.lit(1).alias("doc"), F.lit(1).alias("freq"))
+    got, parts, _ = placed(df, 1)
+    assert parts > 50_000 and len(got._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+
+
+def test_no_folder_to_spill_to(spark, monkeypatch):
+    monkeypatch.setattr(termfreq, "durable_folder", lambda _: "hdfs://there/shared")
+    with pytest.raises(ValueError):
+        termfreq.term_frequencies(spark.createDataFrame([], "term string, doc int, freq int"), "term", "doc", "freq")
 
 
 def test_no_terms(spark):
