@@ -24,9 +24,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over tasks if the scan has fewer files than tasks can run at once; large inputs stay as they are."""
+    """Rows dealt over tasks if the scan has fewer splits than tasks can run at once, which bounds its size to as many
+    splits; larger inputs stay as they are."""
     width = min(df.sparkSession.sparkContext.defaultParallelism, shuffle_width(df.sparkSession))
-    return df.repartition(width) if len(df.inputFiles()) < width else df
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
 
 
 def read_pairs(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -164,11 +165,18 @@ def numbered(df: DataFrame, order: Sequence[str], within: Sequence[str], name: s
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
 
 
-def hashed_sample(df: DataFrame, key: str, want: int, total: int) -> DataFrame:
-    """The want rows of smallest hash of their key, of total rows. Tasks send on no more than they need: rows far above
-    the hash expected for the last one are dropped before the sort (four times the rows are left to choose from)."""
+def hashed_sample(df: DataFrame, key: str, want: int, total: int | None = None) -> DataFrame:
+    """One row of each of the want keys of smallest hash. total: the number of rows, where every row has a key of its
+    own; else the distinct keys are found first, and of several rows of a key the smallest counts, so a key that holds
+    many rows counts once. Tasks send on no more than they need: keys far above the hash expected for the last one are
+    dropped before the sort (four times the keys are left to choose from)."""
     place = F.xxhash64(key)
-    share = 4 * (want + 100) / max(1, total)
+    keys = df if total is not None else df.select(key).distinct()
+    share = 4 * (want + 100) / max(1, keys.count() if total is None else total)
     if share < 1:
-        df = df.where(place < F.lit(int(-(2**63) + share * 2**64)))
-    return df.orderBy(place, key).limit(want)
+        keys = keys.where(place < F.lit(int(-(2**63) + share * 2**64)))
+    chosen = keys.orderBy(place, key).limit(want)
+    if total is not None:
+        return chosen
+    least = F.min(F.struct(*[c for c in df.columns if c != key])).alias("row")
+    return df.join(F.broadcast(chosen), key, "left_semi").groupBy(key).agg(least).select(key, "row.*")

@@ -36,6 +36,25 @@ def test_matrix(spark, tmp_path):
     assert [r["embedding"] for r in rows] == x.tolist()
 
 
+def test_hashed_sample_of_a_hot_key(spark):
+    rows = spark.range(20_000).select((F.col("id") % 4 * (F.col("id") % 7 == 0).cast("int")).alias("k"), F.col("id").alias("v"))
+    assert sorted(map(tuple, S.hashed_sample(rows, "k", 100).collect())) == [(0, 0), (1, 21), (2, 14), (3, 7)]
+    many = spark.range(9_000).select(F.greatest(F.col("id") - 3_000, F.lit(0)).alias("k"), F.lit(1).alias("v"))
+    assert S.hashed_sample(many.repartition(5), "k", 30).count() == 30
+    assert sorted(S.hashed_sample(many, "k", 30).collect()) == sorted(S.hashed_sample(many.repartition(5), "k", 30).collect())
+
+
+def test_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(100).repartition(8).write.option("parquet.block.size", 1024).parquet(f"{tmp_path}/many")
+    assert S.spread(spark.read.parquet(f"{tmp_path}/one")).rdd.getNumPartitions() == 4
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        assert "Exchange" not in S.spread(spark.read.parquet(f"{tmp_path}/many"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_hashed_sample_is_the_same_at_any_size(spark):
     rows = spark.range(5000).withColumn("text", F.lit("x"))
     want = [r["id"] for r in rows.orderBy(F.xxhash64("id")).limit(20).collect()]
