@@ -43,12 +43,36 @@ def test_dense_third(spark):
 def test_blocks_lose_nothing(spark):
     x = clustered(300, 8, 4)
     rows = spark.createDataFrame([(f"{n:03}", (v / np.linalg.norm(v)).astype(np.float32).tobytes()) for n, v in enumerate(x)], "rep string, vec binary")
-    whole = {tuple(r) for r in knn.similar_vectors(rows, 3, lists=2).collect()}
-    cut = {tuple(r) for r in knn.similar_vectors(rows, 3, lists=2, block=5).collect()}
+    whole = {tuple(r) for r in knn.similar_vectors(rows, 300, 3, lists=2).collect()}
+    cut = {tuple(r) for r in knn.similar_vectors(rows, 300, 3, lists=2, block=5).collect()}
     assert whole <= cut | whole and len(whole & cut) >= 0.98 * len(whole)
 
 
-def test_copies_ties_and_unusable(spark):
+def test_equal_cosines():
+    rng = np.random.default_rng(1)
+    for n, k in ((5, 5), (40, 3), (400, 5), (400, 1)):
+        cos = rng.integers(0, 6, (30, n)) / 10
+        want = np.array([sorted(range(n), key=lambda j: (-round(float(row[j]), 6), j))[:k] for row in cos])
+        assert (knn.best_places(cos, k) == want).all()
+
+
+def test_pivots_through_coarse_ones():
+    x = clustered(4_000, 32, 3)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = knn.Pivots(knn.thinned(x[:1_000]))
+    found, cos = pivots.nearest(x, 3), x @ pivots.vectors[np.argsort(pivots.order)].T
+    best = np.take_along_axis(cos, found, axis=1)
+    assert (np.diff(best, axis=1) <= 0).all() and np.mean(best[:, 0] >= cos.max(axis=1) - 1e-6) > 0.95
+    assert (knn.Pivots(x[:2]).nearest(x[:5], 3)[:, 2] == -1).all()
+
+
+def test_copies_ties_and_unusable(spark, monkeypatch):
+    for huge in (knn.HUGE, 6):
+        monkeypatch.setattr(knn, "HUGE", huge)
+        copies_ties_and_unusable(spark)
+
+
+def copies_ties_and_unusable(spark):
     v, w = [1.0, 0.0], [0.0, 1.0]
     rows = [(f"c{n}", [float(n + 1), 0.0]) for n in range(9)] + [("d", w), ("d", w), ("e", None), ("f", [0.0, 0.0]), ("g", [float("nan"), 1.0]), ("h", [1.0]), ("i", [None, 1.0]), (None, v), ("j", [float("inf"), 0.0])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "id string, embedding array<float>, vec string, cos int")
