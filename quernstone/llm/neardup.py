@@ -9,14 +9,18 @@ coordinate is filled, two sketches agree in a coordinate with a probability of
 the similarity, and the number of agreements is as concentrated as that of
 independent coordinates, at a fraction of their cost.
 
-Bands of ROWS coordinates give the candidates; those whose 128 sketch bits
-disagree more than pairs at the threshold ever do are dropped in the join
-itself; the rest is verified on the words. A pair at similarity s is missed
-with probability (1 - s^ROWS)^BANDS: 4e-4 at 0.75, 6e-6 at 0.8.
+Bands of coordinates give the candidates; those whose 128 sketch bits disagree
+more than pairs at the threshold ever do are dropped in the join itself; the rest is verified on the words. Of rows coordinates a band and so many bands,
+a pair at similarity s is missed with probability (1 - s^rows)^bands; both follow
+from the threshold, so that a pair at the threshold is missed with MISSED at most
+(at 0.75: 40 bands of 6; a pair at 0.8 with 6e-6).
+
+Classes of many records are dealt in blocks wherever they are joined or paired.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +30,36 @@ from pyspark.sql import functions as F
 
 from quernstone.session import settle, written
 
-ROWS, BANDS = 6, 40
-#: Sketch bits compared in the join, and how many of them may differ: at similarity 0.75 an eighth differ on average,
-#: 16 of 128 with a standard deviation of 3.7; more than 33 have a probability of 1.5e-5.
-BITS, MOST_DIFFERENT = 128, 33
+#: How likely a pair at the threshold may be missed by the bands, and by the sketch bits; bands where two rows would do.
+MISSED, BITS_MISSED, MOST_BANDS = 4e-4, 1.5e-5, 40
+#: Sketch bits compared in the join.
+BITS = 128
 #: Members of a bucket that are paired in one piece; larger buckets are cut into blocks, paired block by block.
 BLOCK = 2_000
 #: Records sketched at once by a task.
 AT_ONCE = 2_048
 
+
+def bands_for(threshold: float) -> tuple[int, int]:
+    """(rows, bands): the longest bands of which MOST_BANDS at most find a pair at the threshold, or single rows."""
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold is above 0 and at most 1")
+    t, rows = min(threshold, 0.98), 1
+    needed = lambda r: math.ceil(math.log(MISSED) / math.log(1 - t**r))
+    while needed(rows + 1) <= MOST_BANDS:
+        rows += 1
+    return rows, needed(rows)
+
+
+def most_different(threshold: float) -> int:
+    """Of BITS sketch bits (half of the coordinates that differ), as many as differ at the threshold but for BITS_MISSED."""
+    p, tail, d = (1 - threshold) / 2, 1.0, -1
+    while tail > BITS_MISSED:
+        d += 1
+        tail -= math.comb(BITS, d) * p**d * (1 - p) ** (BITS - d)
+    return d
+
+
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -127,18 +152,48 @@ def word_set(*texts: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(joined, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lower)))
 
 
-def classes(df: DataFrame, key: str, words: Column) -> tuple[DataFrame, DataFrame]:
-    """(members: rec, rep; representatives: rep, words). Records with the same words have the smallest of their keys."""
+def classes(df: DataFrame, key: str, words: Column, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(members: rec, rep, part, parts; representatives: rep, words). Records with the same words have the smallest of
+    their keys. A class of more than block records is dealt into parts; there are no more such classes than
+    records / block, which bounds what is broadcast to find them."""
     rows = df.where(df[key].isNotNull()).select(df[key].alias("rec"), words.alias("words")).where(F.size("words") > 0)
     rows = rows.withColumn("print", F.unhex(F.md5(F.array_join("words", " "))))
-    least = rows.groupBy("print").agg(F.min("rec").alias("rep"), F.min_by("words", "rec").alias("words"))
-    least = written(least, "classes")  # columns compress, rows of a checkpoint don't
-    members = rows.select("rec", "print").distinct().join(least.select("print", "rep"), "print").select("rec", "rep")
-    return members, least.select("rep", "words")
+    prints = written(rows.select("rec", "print").distinct(), "prints")
+    sizes = prints.groupBy("print").agg(F.min("rec").alias("rep"), F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
+    sizes = written(sizes, "classes")
+    large = F.broadcast(sizes.where("parts > 1"))
+    few = prints.join(large.select("print"), "print", "left_anti").join(sizes.where("parts = 1"), "print")
+    members = few.unionByName(prints.join(large, "print")).select("rec", "rep", F.pmod(F.xxhash64("rec"), "parts").cast("int").alias("part"), "parts")
+    least = rows.groupBy("print").agg(F.min_by("words", "rec").alias("words"))
+    return members, written(least.join(sizes, "print").select("rep", "words"), "words")
+
+
+def dealt_links(found: DataFrame, members: DataFrame) -> DataFrame:
+    """ra and rb of the members of linked classes a and b, part by part of large classes."""
+    large = members.where("parts > 1").select("rep", "parts").distinct()
+    for side in "ab":
+        known = F.broadcast(large.select(F.col("rep").alias(side), F.col("parts").alias(f"parts_{side}")))
+        found = found.join(known, side, "left").withColumn(f"part_{side}", F.explode(F.sequence(F.lit(0), F.coalesce(f"parts_{side}", F.lit(1)) - 1)))
+    for side in "ab":
+        own = members.select(F.col("rec").alias(f"r{side}"), F.col("rep").alias(side), F.col("part").alias(f"part_{side}"))
+        found = found.join(own, [side, f"part_{side}"])
+    return found.select("ra", "rb")
+
+
+def inside_classes(members: DataFrame) -> DataFrame:
+    """ra < rb of the same class; every two parts of a large one meet on their own."""
+    held = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "rec", "rep", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
+    )
+    x, y = held.alias("x"), held.alias("y")
+    same = (F.col("x.rep") == F.col("y.rep")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    once = (F.col("x.low") == F.col("x.high")) | (F.col("x.part") != F.col("y.part"))
+    return x.join(y, same & once & (F.col("x.rec") < F.col("y.rec"))).select(F.col("x.rec").alias("ra"), F.col("y.rec").alias("rb"))
 
 
-def links(reps: DataFrame, threshold: float, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+def links(reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """Pairs of representatives (a < b) with a similarity of at least the threshold; columns a, b, similarity."""
+    rows, bands = bands_for(threshold)
     kind = reps.select("rep").schema[0].dataType.simpleString()
     hashed = reps.select("rep", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     sketched = hashed.mapInArrow(_sketcher(rows, bands), f"rep {kind}, size int, bits_a long, bits_b long, keys array<long>")
@@ -159,7 +214,7 @@ def links(reps: DataFrame, threshold: float, rows: int = ROWS, bands: int = BAND
         & (F.col("x.rep") < F.col("y.rep"))
         & ((F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block")))
         & (F.least("x.size", "y.size") >= F.lit(threshold) * F.greatest("x.size", "y.size"))
-        & (differ <= MOST_DIFFERENT)
+        & (differ <= most_different(threshold))
     )
     pairs = x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a").join(
@@ -171,20 +226,17 @@ def links(reps: DataFrame, threshold: float, rows: int = ROWS, bands: int = BAND
     return both.where(shared >= F.lit(threshold) * total).select("a", "b", (shared / total).alias("similarity"))
 
 
-def similar_pairs(df: DataFrame, key: str, words: Column, threshold: float = 0.75) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, words: Column, threshold: float = 0.75, block: int = BLOCK) -> DataFrame:
     """Pairs rec_a < rec_b of different keys whose word sets reach the threshold of shared by all words.
 
     Records without words and rows with a null key don't take part; rows repeated for a key count once (a key with
     several texts is in a pair if any of them is); exact copies of any number are found as one class and written out
     as pairs only at the end; further columns are ignored; an empty table gives an empty result.
     """
-    members, reps = classes(df, key, words)
-    found = links(reps, threshold).select("a", "b")
-    left, right = members.select(F.col("rec").alias("ra"), F.col("rep").alias("a")), members.select(F.col("rec").alias("rb"), F.col("rep").alias("b"))
-    across = found.join(left, "a").join(right, "b")
-    inside = left.join(right, F.col("a") == F.col("b"))
-    pairs = across.select("ra", "rb").unionByName(inside.select("ra", "rb")).where("ra <> rb")
-    return pairs.select(F.least("ra", "rb").alias("rec_a"), F.greatest("ra", "rb").alias("rec_b")).distinct()
+    members, reps = classes(df, key, words, block)
+    across = dealt_links(links(reps, threshold, block).select("a", "b"), members).where("ra <> rb")
+    across = across.select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"))
+    return across.unionByName(inside_classes(members)).distinct().toDF("rec_a", "rec_b")
 
 
 def components(found: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
@@ -203,16 +255,17 @@ def components(found: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFram
     raise RuntimeError("components didn't settle; give more rounds")
 
 
-def grouped(df: DataFrame, key: str, words: Column, threshold: float = 0.75) -> DataFrame:
+def grouped(df: DataFrame, key: str, words: Column, threshold: float = 0.75, block: int = BLOCK) -> DataFrame:
     """One row for each key with words: rec_id's key, class_id (smallest key with the same words), group_id (smallest
     class it is linked to, over any number of links) and n_links (its links to other classes)."""
-    members, reps = classes(df, key, words)
-    found = settle(links(reps, threshold))
+    members, reps = classes(df, key, words, block)
+    found = settle(links(reps, threshold, block))
     ends = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     label = components(found, degree.select("rep"))
-    return (
-        members.join(degree, "rep", "left")
-        .join(label, "rep", "left")
-        .select(F.col("rec").alias(key), F.col("rep").alias("class_id"), F.coalesce("group", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    )
+    known = degree.join(label, "rep")
+    parts = members.where("parts > 1").select("rep").distinct()
+    columns = [F.col("rec").alias(key), F.col("rep").alias("class_id"), F.coalesce("group", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+    # Large classes, which are few, go to their members.
+    large = members.where("parts > 1").join(F.broadcast(known.join(F.broadcast(parts), "rep", "left_semi")), "rep", "left")
+    return members.where("parts = 1").join(known, "rep", "left").select(*columns).unionByName(large.select(*columns))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quernstone.llm import knn, neardup
@@ -134,6 +135,9 @@ def test_pairs_against_brute_force(spark):
     words = neardup.word_set("original", "queries")
     got = {tuple(r) for r in neardup.similar_pairs(df, "rec_id", words).collect()}
     assert got == jaccard_pairs(rows, 0.75)
+    assert {tuple(r) for r in neardup.similar_pairs(df, "rec_id", words, block=3).collect()} == got
+    whole, dealt = neardup.grouped(df, "rec_id", words), neardup.grouped(df, "rec_id", words, block=3)
+    assert sorted(whole.collect()) == sorted(dealt.collect())
     _, reps = neardup.classes(df, "rec_id", words)
     assert sorted(map(tuple, neardup.links(reps, 0.75, block=3).collect())) == sorted(map(tuple, neardup.links(reps, 0.75).collect()))
     groups = {r["rec_id"]: r for r in neardup.grouped(df, "rec_id", words).collect()}
@@ -142,6 +146,21 @@ def test_pairs_against_brute_force(spark):
     assert neardup.similar_pairs(df.limit(0), "rec_id", words).collect() == []
 
 
+def test_any_threshold(spark):
+    assert neardup.bands_for(0.75) == (6, 40) and neardup.most_different(0.75) == 33
+    rows = []
+    for k in range(300):  # 12 of 24, 18 of 20 and 6 of 20 words shared
+        for n, (shared, own) in enumerate(((12, 6), (18, 1), (6, 7))):
+            for side in range(2):
+                words = [f"s{k}x{n}x{j}" for j in range(shared)] + [f"o{k}x{n}x{side}x{j}" for j in range(own)]
+                rows.append((k * 10 + n * 2 + side, " ".join(words), None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    for threshold, most in ((0.5, 600), (0.9, 300), (0.3, 900)):
+        assert neardup.similar_pairs(df, "rec_id", neardup.word_set("original"), threshold).count() == most
+    with pytest.raises(ValueError):
+        neardup.similar_pairs(df, "rec_id", neardup.word_set("original"), 0.0)
+
+
 def test_chains_become_one_group(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     nodes = spark.range(61).select(F.col("id").alias("rep"))
