@@ -1,4 +1,4 @@
-"""Command line: expand, index, search, hybrid, evaluate, info."""
+"""Command line: expand, demo, index, search, hybrid, evaluate, info."""
 
 from __future__ import annotations
 
@@ -19,10 +19,12 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     p = sub.add_parser("expand", help="expand a collection with the stand-in providers")
     p.add_argument("input"), p.add_argument("output"), p.add_argument("--limit", type=int), p.add_argument("--queries-only", action="store_true")
+    p = sub.add_parser("demo", help="expand one text and show every stage")
+    p.add_argument("text")
     p = sub.add_parser("index", help="index a collection")
     p.add_argument("input"), p.add_argument("output"), p.add_argument("--subset"), p.add_argument("--stem", action="store_true")
     p = sub.add_parser("search", help="search an index")
-    p.add_argument("index"), p.add_argument("queries"), p.add_argument("output"), p.add_argument("--k", type=int, default=1000), p.add_argument("--stem", action="store_true")
+    p.add_argument("index"), p.add_argument("queries"), p.add_argument("output"), p.add_argument("--k", type=int, default=1000), p.add_argument("--stem", action="store_true"), p.add_argument("--limit", type=int)
     p = sub.add_parser("hybrid", help="fuse runs")
     p.add_argument("output"), p.add_argument("runs", nargs="+"), p.add_argument("--depth", type=int, default=1000)
     p = sub.add_parser("evaluate", help="metrics of runs as a table")
@@ -45,11 +47,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         else:
             done = expand.expand(docs, providers.EchoGenerator(), providers.NegationClassifier(), providers.HeadingQueries(), providers.HashingEncoder(), X.CHAT)
         S.write_pairs(done.select("doc_id", F.col("expanded").alias("text")), a.output)
+    elif a.command == "demo":
+        docs = spark.createDataFrame([("demo", a.text)], "doc_id string, text string")
+        done = expand.expand(docs, providers.EchoGenerator(), providers.NegationClassifier(), providers.HeadingQueries(), providers.HashingEncoder(), X.CHAT).first()
+        print("\n".join(f"{name}: {done[name]}" for name in ("gaps", "raw_expansions", "valid_expansions", "queries", "final", "expanded")))
     elif a.command == "index":
         subset = S.read_ids(spark, a.subset) if a.subset else None
         index.write_index(index.build_index(S.read_pairs(spark, a.input), stem=a.stem, subset=None if subset is None or subset.isEmpty() else subset), a.output)
     elif a.command == "search":
-        S.write_run(sparse.bm25(index.read_index(spark, a.index, a.stem), S.read_pairs(spark, a.queries, "qid"), a.k), a.output)
+        queries = S.read_queries(spark, a.queries, limit=a.limit)
+        run, latency = metrics.timed(lambda: sparse.bm25(index.read_index(spark, a.index, a.stem), queries, a.k), queries.count())
+        S.write_run(run, a.output)
+        print(f"mean latency {latency:.1f} ms")
     elif a.command == "hybrid":
         S.write_run(fusion.rrf([S.read_run(spark, r) for r in a.runs], depth=a.depth), a.output)
     elif a.command == "evaluate":

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from quernstone.operators.sparse import DECIMALS, top_k
 
-#: Numbers of a block of query vectors that goes to every task (64 MB); more queries are searched block by block.
-BLOCK_NUMBERS = 16_000_000
+#: Numbers of a block of query vectors that goes to every task (64 MB), and of results a task holds for it (64 MB of
+#: ids and scores); more queries are searched block by block.
+BLOCK_NUMBERS, BLOCK_RESULTS = 16_000_000, 4_000_000
+#: Scores of queries by vectors that are worked out at once (32 MB).
+AT_ONCE = 4_000_000
 
 
 def dot(a: str, b: str) -> Column:
@@ -33,25 +36,39 @@ def cosine(a: str, b: str) -> Column:
     return F.round(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), DECIMALS)
 
 
-def _local_best(shared, k: int, metric: str):
+def _k_best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best columns of each row by score, then id."""
+    n = score.shape[1]
+    if n <= k:
+        return ids, score
+    least = np.partition(score, n - k, axis=1)[:, n - k, None]
+    good = score >= least
+    many = good.sum(axis=1)
+    keep = np.empty((len(score), k), dtype=np.int64)
+    plain = many == k
+    keep[plain] = np.nonzero(good[plain])[1].reshape(-1, k)
+    for row in np.flatnonzero(~plain):  # ties at the last place
+        some = np.flatnonzero(good[row])
+        keep[row] = some[np.lexsort((ids[row, some], -score[row, some]))[:k]]
+    return np.take_along_axis(ids, keep, 1), np.take_along_axis(score, keep, 1)
+
+
+def _local_best(shared, k: int, metric: str, at_once: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
         held_ids, held = np.zeros((len(qids), 0), dtype=np.int64), np.zeros((len(qids), 0))
-        for batch in batches:
-            x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            if not len(x):
-                continue
-            if metric == "cosine":
-                length = np.linalg.norm(x, axis=1, keepdims=True)
-                score = np.round(q @ np.divide(x, length, out=x, where=length > 0).T, DECIMALS)
-            else:
-                score = -np.round(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * (q @ x.T), 0), DECIMALS)
-            ids = np.concatenate([held_ids, np.broadcast_to(np.asarray(batch.column(0)), score.shape)], axis=1)
-            score = np.concatenate([held, score], axis=1)
-            if score.shape[1] > k:  # the k best by score, then id
-                keep = np.lexsort((ids, -score), axis=1)[:, :k]
-                ids, score = np.take_along_axis(ids, keep, 1), np.take_along_axis(score, keep, 1)
-            held_ids, held = ids, score
+        step = max(1, (at_once or AT_ONCE) // max(1, len(qids)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                x = np.array(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+                if metric == "cosine":
+                    length = np.linalg.norm(x, axis=1, keepdims=True)
+                    score = np.round(q @ np.divide(x, length, out=x, where=length > 0).T, DECIMALS)
+                else:
+                    score = -np.round(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * (q @ x.T), 0), DECIMALS)
+                ids = np.concatenate([held_ids, np.broadcast_to(np.asarray(batch.column(0)), score.shape)], axis=1)
+                held_ids, held = _k_best(ids, np.concatenate([held, score], axis=1), k)
         for at in range(0, len(qids), 1_000):
             part = held[at : at + 1_000]
             yield pa.RecordBatch.from_arrays(
@@ -66,14 +83,14 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "
     """The k nearest vectors (doc_id long, embedding) of every query vector (qid long, embedding), exactly.
 
     Each task multiplies its vectors with a block of the queries and keeps the k best of each query, so at most k rows
-    a query and task are shuffled. A block of queries is bounded (BLOCK_NUMBERS); more queries are read block by block
-    from their own scan. cosine: higher is better; l2: squared distance, lower is better. Ties go by doc_id.
+    a query and task are shuffled. A block of queries is bounded (BLOCK_NUMBERS, BLOCK_RESULTS), and so is what is worked
+    out of it at once (AT_ONCE); more queries are read block by block from their own scan. cosine: higher is better; l2: squared distance, lower is better. Ties go by doc_id.
     """
     spark = queries.sparkSession
     first = queries.select(F.size("embedding")).first()
     if first is None:
         return top_k(spark.createDataFrame([], "qid long, doc_id long, score double"), k, tag)
-    step = max(1, BLOCK_NUMBERS // max(1, first[0]))
+    step = max(1, min(BLOCK_NUMBERS // max(1, first[0]), BLOCK_RESULTS // k))
     blocks = max(1, -(-queries.count() // step))
     found = None
     for n in range(blocks):

@@ -27,27 +27,52 @@ def greedy_keep(sims: np.ndarray, threshold: float = THRESHOLD) -> list[int]:
 
 def deduplicated(df: DataFrame, items: str, doc: str | None, encoder: P.Encoder, out: str, threshold: float = THRESHOLD, size: int = 256) -> DataFrame:
     """The rows with their items without near repetitions and without those too similar to the document; an array of
-    one item or none stays as it is. A row is a document, so its items are few."""
-
-    def call(lists, docs=None):
-        flat = [x for xs in lists for x in xs or []]
+    one item or none stays as it is. A row is a document, so its items are few. Where the encoder fails on a batch its
+    rows are encoded one by one, and a row it fails on has null items and the error (out_error)."""
+
+    def kept(xs: list[str], own: str | None) -> list[str]:
+        if len(xs) <= 1:
+            return xs
+        codes = encoder.encode(xs)
+        keep = greedy_keep(codes @ codes.T, threshold)
+        if own:
+            near = codes @ encoder.encode([own])[0]
+            keep = [i for i in keep if float(near[i]) < threshold]
+        return [xs[i] for i in keep]
+
+    def whole(lists, docs):
+        flat = [x for xs in lists for x in xs if len(xs) > 1]
         codes = encoder.encode(flat) if flat else np.zeros((0, 1))
-        own = encoder.encode([d or "" for d in docs]) if docs is not None else None
+        own = encoder.encode([d or "" for d in docs]) if flat and doc is not None else None
         at, out_ = 0, []
         for row, xs in enumerate(lists):
-            xs = xs or []
-            v = codes[at : at + len(xs)]
-            at += len(xs)
             if len(xs) <= 1:
                 out_.append(xs)
                 continue
-            kept = greedy_keep(v @ v.T, threshold)
+            v = codes[at : at + len(xs)]
+            at += len(xs)
+            keep = greedy_keep(v @ v.T, threshold)
             if own is not None and docs[row]:
-                kept = [i for i in kept if float(v[i] @ own[row]) < threshold]
-            out_.append([xs[i] for i in kept])
-        return [pa.array(out_, pa.list_(pa.string()))]
+                keep = [i for i in keep if float(v[i] @ own[row]) < threshold]
+            out_.append([xs[i] for i in keep])
+        return out_
 
-    return P.apply_batched(df, [items] if doc is None else [items, doc], [(out, NONE)], call, size)
+    def one(xs: list[str], own: str | None) -> tuple[list[str] | None, str | None]:
+        try:
+            return kept(xs, own), None
+        except Exception as error:
+            return None, str(error)
+
+    def call(lists, docs=None):
+        lists, docs = [xs or [] for xs in lists], docs or [None] * len(lists)
+        try:
+            found, errors = whole(lists, docs), [None] * len(lists)
+        except Exception:  # the provider's, reported with its rows
+            told = [one(*x) for x in zip(lists, docs)]
+            found, errors = [x for x, _ in told], [e for _, e in told]
+        return [pa.array(found, pa.list_(pa.string())), pa.array(errors, pa.string())]
+
+    return P.apply_batched(df, [items] if doc is None else [items, doc], [(out, NONE), (f"{out}_error", "string")], call, size)
 
 
 def deduplicated_vectors(df: DataFrame, group: str, key: str, vector: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -72,11 +97,14 @@ def unlike_document(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def combine(df: DataFrame, doc: str, semantic: str, queries: str, encoder: P.Encoder) -> DataFrame:
-    """The rows with semantic and queries filtered, final (at most ten of both, deduplicated) and expanded."""
+    """The rows with semantic and queries filtered, final (at most ten of both, deduplicated), expanded, and combine_error;
+    where combining fails, final has the first ten as they came."""
+    empty = F.array().cast(NONE)
     rows = df.withColumns({"_sem": X.useful_expansions(F.col(semantic), F.col(doc)), "_ask": X.useful_expansions(F.col(queries), F.col(doc))})
     rows = deduplicated(rows.withColumn("_all", F.concat("_sem", "_ask")), "_all", doc, encoder, "_kept")
-    final = F.slice("_kept", 1, MOST)
-    return rows.withColumns({"final": final, "expanded": X.joined(F.col(doc), final)}).drop("_all", "_kept", "_sem", "_ask")
+    plain = F.concat(F.coalesce(semantic, empty), F.coalesce(queries, empty))
+    final = F.slice(F.when(F.col("_kept_error").isNull(), F.col("_kept")).otherwise(plain), 1, MOST)
+    return rows.withColumns({"final": final, "expanded": X.joined(F.col(doc), final), "combine_error": F.col("_kept_error")}).drop("_all", "_kept", "_kept_error", "_sem", "_ask")
 
 
 def expand(
@@ -101,7 +129,7 @@ def expand(
     else:
         rows = rows.withColumns({"gaps": empty, "raw_expansions": empty})
     if nli:
-        rows = P.entail(rows, "original", "raw_expansions", nli, "_valid", mode).withColumn("valid_expansions", F.when(F.col("_valid_error").isNull(), F.col("_valid")).otherwise(empty))
+        rows = P.entail(rows, "original", "raw_expansions", nli, "_valid", mode).withColumn("valid_expansions", F.col("_valid"))
         errors.append("_valid_error")
     else:
         rows = rows.withColumns({"_valid": F.col("raw_expansions"), "valid_expansions": empty})
@@ -111,10 +139,19 @@ def expand(
     else:
         rows = rows.withColumn("queries", empty)
     rows = combine(rows, "original", "_valid", "queries", encoder)
-    error = F.concat_ws("; ", *errors) if errors else F.lit("")
+    error = F.concat_ws("; ", *errors, "combine_error")
     return rows.select("doc_id", "original", "gaps", "raw_expansions", "valid_expansions", "queries", "final", "expanded", F.nullif(error, F.lit("")).alias("error"))
 
 
+def expand_single_prompt(docs: DataFrame, generator: P.TextGenerator, frame: tuple[str, str] = X.CHAT, most: int = 500) -> DataFrame:
+    """(doc_id, original, expanded, error): the text and the answer to one prompt about its first most characters; after
+    an error the text alone."""
+    rows = docs.select("doc_id", F.col("text").alias("original"))
+    asked = P.answer(rows.withColumn("_p", X.filled(X.PASSAGE_PROMPT, frame, document=F.substring("original", 1, most))), "_p", generator, "_answer")
+    expanded = F.when(F.col("_answer").isNull(), F.col("original")).otherwise(F.concat("original", F.lit(" "), X.strip(F.col("_answer"))))
+    return asked.select("doc_id", "original", expanded.alias("expanded"), F.col("_answer_error").alias("error"))
+
+
 def expand_queries_only(docs: DataFrame, asker: P.QueryGenerator, n: int = QUERIES) -> DataFrame:
     """(doc_id, original, queries, expanded): the text and all its queries."""
     rows = P.ask(docs.select("doc_id", F.col("text").alias("original")), "original", asker, n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,23 +16,47 @@ from quernstone.session import settle
 BLOCK = 128
 
 
+#: Terms of queries that are pushed into the scan of a stored index; more are joined to it.
+PUSHED_TERMS = 1_000
+
+
 @dataclass
 class Index:
-    """terms: (doc_id, dl, terms array) of the documents with a term; stats: one row of n_docs and avgdl."""
+    """terms: (doc_id, dl, terms array) of the documents with a term, or stored: the folder of a written index, of
+    which a search reads only the terms it asks for; stats: one row of n_docs and avgdl."""
 
-    terms: DataFrame
+    terms: DataFrame | None
     stats: DataFrame
     stem: bool = False
+    stored: str | None = None
+
+    def _read(self, name: str) -> DataFrame:
+        return self.stats.sparkSession.read.parquet(f"{self.stored}/{name}")
 
     @cached_property
     def postings(self) -> DataFrame:
         """(term, doc_id, dl, tf)"""
-        return posted(self.terms, self.stem)
+        return self._read("postings") if self.stored else posted(self.terms, self.stem)
 
     @property
     def lexicon(self) -> DataFrame:
         """(term, df)"""
-        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return self._read("lexicon") if self.stored else self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def lookup(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The postings and the lexicon of wanted terms (term)."""
+        terms = wanted.select("term").distinct()
+        if self.stored:
+            few = [r["term"] for r in terms.limit(PUSHED_TERMS + 1).collect()]
+            if len(few) <= PUSHED_TERMS:
+                return self.postings.where(F.col("term").isin(few)), self.lexicon.where(F.col("term").isin(few))
+            return self.postings.join(terms, "term", "left_semi"), self.lexicon.join(terms, "term", "left_semi")
+        if self.stem:
+            postings = self.postings.join(terms, "term", "left_semi")
+        else:  # only occurrences of these terms are counted at all
+            flat = self.terms.select("doc_id", "dl", F.explode("terms").alias("term")).join(terms, "term", "left_semi")
+            postings = flat.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        return postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def posted(terms: DataFrame, stem: bool = False) -> DataFrame:
@@ -81,12 +105,16 @@ def unpacked(blocks: DataFrame) -> DataFrame:
 
 
 def write_index(index: Index, folder: str) -> None:
-    """Postings and lexicon sorted by term, so row-group statistics prune lookups; lengths and statistics beside them."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
-    index.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/lexicon")
-    index.terms.write.mode("overwrite").parquet(f"{folder}/terms")
+    """Postings and lexicon sorted by term, so files and row groups that hold no term of a query are skipped; the
+    lengths of documents and the statistics beside them."""
+    spark = index.stats.sparkSession
+    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    counted = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/lexicon")
+    if index.terms is not None:
+        index.terms.select("doc_id", "dl").write.mode("overwrite").parquet(f"{folder}/lengths")
     index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
 
-def read_index(spark, folder: str, stem: bool = False) -> Index:
-    return Index(spark.read.parquet(f"{folder}/terms"), spark.read.parquet(f"{folder}/stats"), stem)
+def read_index(spark: SparkSession, folder: str, stem: bool = False) -> Index:
+    return Index(None, spark.read.parquet(f"{folder}/stats"), stem, folder)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.session import written
+
 KS = (10, 100, 1000)
 DECIMALS = 9
 
@@ -69,6 +72,14 @@ def compare(runs: DataFrame, qrels: DataFrame, **options) -> DataFrame:
     return summarise(evaluate(runs, qrels, by=("tag",), **options)).withColumnRenamed("tag", "method")
 
 
+def timed(search: Callable[[], DataFrame], n_queries: int) -> tuple[DataFrame, float]:
+    """The run of a search, written, and its mean time in milliseconds a query. All queries are one job here, so there
+    is no time of a single one."""
+    began = time.monotonic()
+    run = written(search(), "run")
+    return run, 1000 * (time.monotonic() - began) / max(1, n_queries)
+
+
 def relative_improvement(summary: DataFrame, metric: str, base: str, group: str, variant: str) -> DataFrame:
     """(group, variant, value, improvement): the change from a group's base variant, as a share; null without a base."""
     other = summary.where(F.col(variant) == base).select(group, F.col(f"`{metric}`").alias("base"))

@@ -80,7 +80,7 @@ class HashingEncoder:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for row, text in enumerate(texts):
             for word in re.findall(r"\w+", text.lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
                 out[row, h % self.dim] += 1 if h >> 63 else -1
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=out, where=length > 0)
@@ -141,18 +141,29 @@ def ask(df: DataFrame, text: str, generator: QueryGenerator, n: int = 3, out: st
 
 def entail(df: DataFrame, premise: str, hypotheses: str, classifier: NliClassifier, out: str = "valid", mode: str = "lenient", size: int = 64) -> DataFrame:
     """The rows with the hypotheses that pass: lenient drops those labelled as contradictions, strict keeps entailments
-    of at least 0.5. Where the classifier fails, all are kept and the error is given."""
+    of at least 0.5. Where the classifier fails on a batch its pairs are asked one by one, and a pair it fails on
+    doesn't pass; the row gives the error."""
 
     def fine(label: str, p: float) -> bool:
         return label != "contradiction" if mode == "lenient" else label == "entailment" and p >= 0.5
 
+    def one(pair: tuple[str, str]) -> tuple[bool, str | None]:
+        try:
+            return fine(*classifier.classify([pair])[0]), None
+        except Exception as error:
+            return False, str(error)
+
     def call(premises, lists):
         flat = [(p or "", h) for p, hs in zip(premises, lists) for h in hs or []]
         try:
-            good = iter([fine(*x) for x in classifier.classify(flat)])
-            kept = [[h for h in hs or [] if next(good)] for hs in lists]
-            return [pa.array(kept, pa.list_(pa.string())), pa.nulls(len(lists), pa.string())]
-        except Exception as error:
-            return [pa.array([hs or [] for hs in lists], pa.list_(pa.string())), pa.array([str(error)] * len(lists), pa.string())]
+            told = [(fine(*x), None) for x in classifier.classify(flat)]
+        except Exception:  # the provider's, reported with its rows
+            told = [one(pair) for pair in flat]
+        kept, errors, rest = [], [], iter(told)
+        for hs in lists:
+            own = [next(rest) for _ in hs or []]
+            kept.append([h for h, (good, _) in zip(hs or [], own) if good])
+            errors.append(next((e for _, e in own if e is not None), None))
+        return [pa.array(kept, pa.list_(pa.string())), pa.array(errors, pa.string())]
 
     return apply_batched(df, [premise, hypotheses], [(out, "array<string>"), (f"{out}_error", "string")], call, size)

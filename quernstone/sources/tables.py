@@ -55,15 +55,16 @@ def last_of_each(df: DataFrame, key: Sequence[str], *order: str) -> DataFrame:
     return df.groupBy(*key).agg(newest).select(*key, *[F.col("row")[c].alias(c) for c in rest])
 
 
-def read_queries(spark: SparkSession, *paths: str) -> DataFrame:
-    """The queries of several files, with their number of the file; missing files are skipped."""
+def read_queries(spark: SparkSession, *paths: str, limit: int | None = None) -> DataFrame:
+    """The queries of several files, with their number of the file; missing files are skipped. limit: of each file."""
     out = spark.createDataFrame([], "qid string, text string, source int")
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for n, path in enumerate(paths):
         where = jvm.org.apache.hadoop.fs.Path(path)
         if where.getFileSystem(conf).exists(where):
-            out = out.unionByName(read_pairs(spark, path, "qid").withColumn("source", F.lit(n)))
+            rows = read_pairs(spark, path, "qid")
+            out = out.unionByName((rows if limit is None else rows.limit(limit)).withColumn("source", F.lit(n)))
     return out
 
 
@@ -121,9 +122,9 @@ def write_pairs(df: DataFrame, path: str, key: str = "doc_id", text: str = "text
     df.select(F.concat_ws("\t", F.col(key).cast("string"), flat).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_matrix(spark: SparkSession, path: str, dim: int) -> DataFrame:
+def read_matrix(spark: SparkSession, path: str, dim: int, ids: str | None = None) -> DataFrame:
     """row (from 0) and embedding of a file of an int32 count and count x dim float32, little-endian; one file is one
-    task, as its rows have no separators."""
+    task, as its rows have no separators. ids: a file of one id a line, in the order of the rows, which adds doc_id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +137,15 @@ def read_matrix(spark: SparkSession, path: str, dim: int) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * dim), pa.array(part))
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + m)), lists], ["row", "embedding"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "row long, embedding array<float>")
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                own = [x.strip() for x in content.decode("utf-8").splitlines()]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(own)), pa.int64()), pa.array(own, pa.string())], ["row", "doc_id"])
+
+    whole = spark.read.format("binaryFile")
+    found = whole.load(path).select("content").mapInArrow(rows, "row long, embedding array<float>")
+    return found if ids is None else whole.load(ids).select("content").mapInArrow(lines, "row long, doc_id string").join(found, "row")
 
 
 def matrix_bytes(vectors: np.ndarray) -> bytes:
@@ -169,10 +178,10 @@ def hashed_sample(df: DataFrame, key: str, want: int, total: int | None = None)
     """One row of each of the want keys of smallest hash. total: the number of rows, where every row has a key of its
     own; else the distinct keys are found first, and of several rows of a key the smallest counts, so a key that holds
     many rows counts once. Tasks send on no more than they need: keys far above the hash expected for the last one are
-    dropped before the sort (four times the keys are left to choose from)."""
+    dropped before the sort (six deviations more than are wanted are left)."""
     place = F.xxhash64(key)
     keys = df if total is not None else df.select(key).distinct()
-    share = 4 * (want + 100) / max(1, keys.count() if total is None else total)
+    share = (want + 6 * want**0.5 + 100) / max(1, keys.count() if total is None else total)
     if share < 1:
         keys = keys.where(place < F.lit(int(-(2**63) + share * 2**64)))
     chosen = keys.orderBy(place, key).limit(want)

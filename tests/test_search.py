@@ -50,6 +50,40 @@ def test_blocks_read_back(spark):
     assert sorted(map(tuple, index.unpacked(blocks).collect())) == sorted(map(tuple, postings.select("term", "doc_id", "tf").collect()))
 
 
+def test_stored_index(spark, docs, tmp_path, monkeypatch):
+    own = index.build_index(docs)
+    index.write_index(own, str(tmp_path))
+    stored = index.read_index(spark, str(tmp_path))
+    queries = ask(spark, ("a", "apple cherry"), ("b", "fig"), ("d", "zzz"))
+    want = sorted(map(tuple, sparse.bm25(own, queries, 10).collect()))
+    assert sorted(map(tuple, sparse.bm25(stored, queries, 10).collect())) == want
+    assert sorted(map(tuple, sparse.bm25(stored, queries, 10, floor=0.25).collect())) == sorted(map(tuple, sparse.bm25(own, queries, 10, floor=0.25).collect()))
+    plan = stored.lookup(sparse.query_terms(queries))[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan and "ReadSchema: struct<term:string,doc_id:bigint,dl:bigint,tf:bigint>" in plan
+    monkeypatch.setattr(index, "PUSHED_TERMS", 1)
+    assert sorted(map(tuple, sparse.bm25(stored, queries, 10).collect())) == want
+
+
+def test_many_queries_at_once():
+    """Of 100,000 queries no more than AT_ONCE scores are worked out at a time, so a batch of 10,000 is taken in slices."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    q, x = rng.integers(-3, 4, (100_000, 2)).astype(np.float64), rng.integers(-3, 4, (120, 2)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array(x.tolist(), pa.list_(pa.float32()))], ["doc_id", "embedding"])
+    tracemalloc.start()
+    out = list(dense._local_best(SimpleNamespace(value=(np.arange(100_000), q)), 2, "l2")(iter([batch])))
+    assert tracemalloc.get_traced_memory()[1] < 400_000_000
+    tracemalloc.stop()
+    got = np.concatenate([b.column(1).to_numpy() for b in out]).reshape(-1, 2)
+    for row in range(0, 100_000, 9_973):
+        far = ((q[row] - x.astype(np.float64)) ** 2).sum(axis=1)
+        assert sorted(got[row].tolist()) == sorted(np.lexsort((np.arange(120), far))[:2].tolist())
+
+
 def test_dense_search_is_exact(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 8)).astype(np.float32)
