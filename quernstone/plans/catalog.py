@@ -7,12 +7,15 @@ divisible by 100, against all vectors.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as X
 from quernstone.functions.stem import stem_sql, stemmed
 from quernstone.operators import dense, expand, fusion, index, metrics, providers, sparse
+from quernstone.session import durable_folder
 from quernstone.sources import tables as S
 
 K = 10
@@ -247,6 +250,14 @@ def bm25_topk(spark, folder):
     return found(sparse.bm25(index.build_index(documents(spark, folder)), asked(spark, folder), K))
 
 
+@query(bm25_sql())
+def bm25_from_index(spark, folder):
+    """The same from an index that is written first and of which only the terms of the queries are read."""
+    at = f"{durable_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    index.write_index(index.build_index(documents(spark, folder)), at)
+    return found(sparse.bm25(index.read_index(spark, at), asked(spark, folder), K))
+
+
 @query(bm25_sql(stem=True))
 def bm25_stemmed_topk(spark, folder):
     return found(sparse.bm25(index.build_index(documents(spark, folder), stem=True), asked(spark, folder), K))
@@ -264,8 +275,7 @@ def bm25_first_block(spark, folder):
     ).replace("JOIN idf USING (term) GROUP BY", "JOIN idf USING (term), mw GROUP BY")
 )
 def bm25_okapi_floor(spark, folder):
-    own = index.build_index(documents(spark, folder), "lower")
-    return found(sparse.bm25(own, asked(spark, folder), K, k1=1.5, analyzer="lower", floor=0.25, positive=True))
+    return found(_okapi(spark, folder, K))
 
 
 @query(bm25_sql(having="HAVING count(*) = any_value(n_terms)").replace("JOIN idf USING (term) GROUP BY", "JOIN idf USING (term) JOIN (SELECT qid, count(*) AS n_terms FROM qt GROUP BY qid) USING (qid) GROUP BY"))
@@ -374,21 +384,35 @@ def hybrid_qid_filter(spark, folder):
     return found(fusion.fuse(S.keep_keys(runs(spark, folder), judged(spark, folder), "qid")))
 
 
-@query(
-    f"WITH b AS ({bm25_sql()}), d AS (WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), x AS (SELECT qid, vec_id AS doc_id,"
-    f" round(list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(d.e, d.e))), 6) AS score"
-    f" FROM ({ASKED}) a JOIN (SELECT vec_id AS v, e FROM v) q ON q.v = CAST(a.qid AS BIGINT) % 100, v d)"
-    f" SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= {K}),"
-    " s AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT qid, doc_id, rank FROM b UNION ALL SELECT qid, doc_id, rank FROM d) GROUP BY ALL)"
-    " SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank, score FROM s"
-)
+def hybrid_sql(bm25: str) -> str:
+    return (
+        f"WITH b AS ({bm25}), d AS (WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), x AS (SELECT qid, vec_id AS doc_id,"
+        f" round(list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(d.e, d.e))), 6) AS score"
+        f" FROM ({ASKED}) a JOIN (SELECT vec_id AS v, e FROM v) q ON q.v = CAST(a.qid AS BIGINT) % 100, v d)"
+        f" SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= {K}),"
+        " s AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT qid, doc_id, rank FROM b UNION ALL SELECT qid, doc_id, rank FROM d) GROUP BY ALL)"
+        " SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank, score FROM s"
+    )
+
+
+@query(hybrid_sql(bm25_sql()))
 def hybrid_search(spark, folder):
     return _hybrid(spark, folder, K)
 
 
-def _hybrid(spark: SparkSession, folder: str, depth: int) -> DataFrame:
+def _okapi(spark: SparkSession, folder: str, depth: int) -> DataFrame:
+    own = index.build_index(documents(spark, folder), "lower")
+    return sparse.bm25(own, asked(spark, folder), depth, k1=1.5, analyzer="lower", floor=0.25, positive=True)
+
+
+@query(hybrid_sql(ORACLES["bm25_okapi_floor"]))
+def hybrid_okapi(spark, folder):
+    return _hybrid(spark, folder, K, _okapi(spark, folder, K))
+
+
+def _hybrid(spark: SparkSession, folder: str, depth: int, left: DataFrame | None = None) -> DataFrame:
     queries, docs = asked(spark, folder), vectors(spark, folder)
-    left = sparse.bm25(index.build_index(documents(spark, folder)), queries, depth)
+    left = left or sparse.bm25(index.build_index(documents(spark, folder)), queries, depth)
     own = queries.select("qid", (F.col("qid").cast("long") % 100).alias("doc_id")).join(docs, "doc_id").select(F.col("qid").cast("long").alias("qid"), "embedding")
     right = dense.dense_search(own, docs, depth).withColumn("qid", F.col("qid").cast("string"))
     return found(fusion.rrf([left, right]))
@@ -542,7 +566,80 @@ def dedup_greedy(spark, folder):
     return expand.deduplicated_vectors(passage_vectors(spark, folder), "doc_id", "vec_id", "embedding")
 
 
-@query()
+# The stand-in providers in SQL. x is an expression, of a text or a list of texts.
+
+
+def _cut(x: str) -> str:
+    """Sentences, cut at white space after . ! or ?"""
+    return f"string_split(regexp_replace({x}, '([.!?]){X.SPACE}+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, '{X.SPACE}+'), lambda y: y <> '')"
+
+
+def _echo(rest: str) -> str:
+    """What the generator answers to a prompt, from what follows its first line."""
+    said = f"list_slice(list_filter(list_transform({_cut(rest)}, lambda s: {_strip('s')}), lambda s: length(s) > 15), 1, 3)"
+    return f"array_to_string(list_transform({said}, lambda s, i: i || '. ' || s), chr(10))"
+
+
+def _parsed(x: str) -> str:
+    """The items of an answer."""
+    lines = f"list_filter(list_transform(string_split({x}, chr(10)), lambda l: {_strip('l')}), lambda l: l <> '' AND l NOT LIKE '#%')"
+    plain = f"list_transform({lines}, lambda l: CASE WHEN regexp_matches(l, '^\\p{{Nd}}') AND contains(l, '.') THEN {_strip('substring(l, instr(l, chr(46)) + 1)')} ELSE l END)"
+    bare = f"list_transform({plain}, lambda l: CASE WHEN l LIKE '-%' THEN {_strip('substring(l, 2)')} ELSE l END)"
+    return f"list_slice(list_filter({bare}, lambda l: length(l) > 5), 1, 5)"
+
+
+def _asked(x: str) -> str:
+    """The queries of a text, each once."""
+    made = f"list_transform(list_filter(list_slice({_cut(x)}, 1, 3), lambda s: {_strip('s')} <> ''), lambda s: 'what about ' || lower(array_to_string(list_slice({_words('s')}, 1, 4), ' ')))"
+    return f"list_filter({made}, lambda q, i: list_position({made}, q) = i)"
+
+
+def _passes(doc: str, h: str, strict: bool = False) -> str:
+    no = lambda x: f"regexp_matches(lower({x}), '(^|[^\\p{{L}}\\p{{N}}_])(not|no|never|cannot)($|[^\\p{{L}}\\p{{N}}_])')"
+    return f"contains({doc}, {h})" if strict else f"(contains({doc}, {h}) OR NOT ({no(h)} AND NOT {no(doc)}))"
+
+
+def _code(x: str) -> str:
+    """The 32 numbers of the hashing encoder, before they are brought to length one."""
+    own = f"list_transform(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: md5(w))"
+    at = "CAST('0x' || substring(h, 15, 2) AS INT) % 32"
+    return f"list_transform(range(32), lambda b: CAST(coalesce(list_sum(list_transform(list_filter({own}, lambda h: {at} = b), lambda h: CASE WHEN h >= '8' THEN 1 ELSE -1 END)), 0) AS DOUBLE))"
+
+
+def _cosine(a: str, b: str) -> str:
+    return f"coalesce(list_dot_product({a}, {b}) / nullif(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})), 0), 0)"
+
+
+def _deduplicated(source: str) -> str:
+    """(id, kept) of source (id, doc, items): greedy over the items, then those unlike the document; one item or none stays."""
+    return (
+        f"dd AS MATERIALIZED (SELECT id, items, {_code('doc')} AS code, coalesce(doc, '') <> '' AS held FROM {source}),"
+        f" di AS MATERIALIZED (SELECT id, i, x, {_code('x')} AS v FROM (SELECT id, generate_subscripts(items, 1) AS i, unnest(items) AS x FROM dd)),"
+        " dr AS (SELECT id, 0 AS i, CAST([] AS STRUCT(x VARCHAR, v DOUBLE[])[]) AS kept FROM dd UNION ALL"
+        f" SELECT dr.id, di.i, CASE WHEN len(list_filter(kept, lambda k: {_cosine('k.v', 'di.v')} >= 0.85)) = 0 THEN list_append(kept, struct_pack(x := di.x, v := di.v)) ELSE kept END"
+        " FROM dr JOIN di ON di.id = dr.id AND di.i = dr.i + 1),"
+        " dk AS (SELECT id, CASE WHEN coalesce(len(items), 0) <= 1 THEN coalesce(items, []) ELSE list_transform(list_filter(kept, lambda k: NOT held OR"
+        f" {_cosine('k.v', 'code')} < 0.85), lambda k: k.x) END AS kept FROM dd JOIN dr USING (id) WHERE i = coalesce(len(items), 0))"
+    )
+
+
+def _useful(items: str, doc: str) -> str:
+    stripped = f"list_transform(list_filter(coalesce({items}, []), lambda x: x IS NOT NULL), lambda x: {_strip('x')})"
+    own = _words("lower(x)")
+    return (
+        f"list_filter({stripped}, lambda x: len({own}) BETWEEN 3 AND 50 AND len(list_filter({own}, lambda y: list_contains({_GENERIC}, y))) / len({own}) <= 0.5"
+        f" AND NOT coalesce(contains(lower({doc}), lower(x)), FALSE))"
+    )
+
+
+@query(
+    f"SELECT rec_id, pos, expansion FROM (SELECT *, {_code('expansion')} AS v, {_code('original')} AS d FROM (SELECT rec_id, original, CAST(generate_subscripts(raw_expansions, 1) - 1 AS INT) AS pos,"
+    f" unnest(raw_expansions) AS expansion FROM ({RECORDS}) WHERE original IS NOT NULL)) WHERE expansion IS NOT NULL AND {_cosine('v', 'd')} < 0.85"
+)
 def filter_similar_to_doc(spark, folder):
     encoder = providers.HashingEncoder()
     rows = records(spark, folder).select("rec_id", "original", F.posexplode("raw_expansions").alias("pos", "expansion")).where("original IS NOT NULL AND expansion IS NOT NULL")
@@ -550,7 +647,10 @@ def filter_similar_to_doc(spark, folder):
     return expand.unlike_document(coded).select("rec_id", "pos", "expansion")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE r AS (SELECT rec_id AS id, original AS doc, list_filter(raw_expansions, lambda x: x IS NOT NULL) AS items FROM ({RECORDS})), {_deduplicated('r')}"
+    " SELECT id AS rec_id, CAST(generate_subscripts(kept, 1) - 1 AS INT) AS pos, unnest(kept) AS expansion FROM dk"
+)
 def expansion_dedup(spark, folder):
     rows = records(spark, folder).select("rec_id", "original", F.filter("raw_expansions", lambda x: x.isNotNull()).alias("items"))
     done = expand.deduplicated(rows, "items", "original", providers.HashingEncoder(), "kept")
@@ -561,29 +661,67 @@ def _providers():
     return providers.EchoGenerator(), providers.NegationClassifier(), providers.HeadingQueries(), providers.HashingEncoder()
 
 
-@query()
+_FRAMED = X.INSTRUCT[1]
+
+
+@query(
+    f"WITH RECURSIVE g AS MATERIALIZED (SELECT doc_id, text, {_parsed(_echo(f"text || chr(10) || chr(10) || 'Gaps:{_FRAMED}'"))} AS gaps FROM documents),"
+    " e AS MATERIALIZED (SELECT doc_id, text, coalesce("
+    + _parsed(_echo(f"text || chr(10) || chr(10) || 'Gaps: ' || CASE WHEN len(gaps) > 0 THEN array_to_string(gaps, chr(10)) ELSE 'none' END || chr(10) || chr(10) || 'Expansions:{_FRAMED}'"))
+    + ", []) AS raw FROM g),"
+    f" v AS MATERIALIZED (SELECT *, list_filter(raw, lambda h: {_passes('text', 'h')}) AS valid, coalesce({_asked('text')}, []) AS queries FROM e),"
+    f" a AS (SELECT doc_id AS id, text AS doc, list_concat({_useful('valid', 'text')}, {_useful('queries', 'text')}) AS items FROM v), {_deduplicated('a')}"
+    " SELECT doc_id, len(raw) AS n_raw, len(valid) AS n_valid, len(queries) AS n_queries, len(list_slice(kept, 1, 10)) AS n_final,"
+    " text || ' ' || coalesce(array_to_string(list_slice(kept, 1, 10), ' '), '') AS expanded, CAST(NULL AS VARCHAR) AS error FROM v JOIN dk ON dk.id = doc_id"
+)
 def expand_combine(spark, folder):
     done = expand.expand(documents(spark, folder), *_providers())
     return done.select("doc_id", F.size("raw_expansions").alias("n_raw"), F.size("valid_expansions").alias("n_valid"), F.size("queries").alias("n_queries"), F.size("final").alias("n_final"), "expanded", "error")
 
 
-@query()
+@query(f"SELECT doc_id, text || ' ' || coalesce(array_to_string({_asked('text')}, ' '), '') AS expanded FROM documents")
 def expand_d2q_only(spark, folder):
     return expand.expand_queries_only(documents(spark, folder), providers.HeadingQueries()).select("doc_id", "expanded")
 
 
+_PASSAGE = X.PASSAGE_PROMPT.split("{document}")[0].replace("\n", "' || chr(10) || '")
+
+
+@query(
+    "SELECT doc_id, text || ' ' || "
+    + _strip(_echo(f"(chr(10) || '{_PASSAGE}' || substring(text, 1, 500) || chr(10) || chr(10) || 'Expansion:{X.CHAT[1]}')".replace("\n", "' || chr(10) || '")))
+    + " AS expanded FROM documents"
+)
+def expand_single_prompt(spark, folder):
+    return expand.expand_single_prompt(documents(spark, folder), providers.EchoGenerator()).select("doc_id", "expanded")
+
+
 def _validated(spark, folder, mode="lenient"):
     rows = records(spark, folder)
     original = rows.select(F.col("rec_id").alias("doc_id"), F.col("original").alias("text"))
     return expand.validate_added(rows.select(F.col("rec_id").alias("doc_id"), F.col("expanded").alias("text")), original, providers.NegationClassifier(), mode)
 
 
-@query()
+def validated_sql(strict: bool = False) -> str:
+    added = f"list_filter(list_transform({_cut(_strip('substring(expanded, length(original) + 1)'))}, lambda s: {_strip('s')}), lambda s: length(s) > 15)"
+    return (
+        f"WITH a AS MATERIALIZED (SELECT rec_id AS doc_id, original, expanded, coalesce(original <> '', FALSE) AS known, CASE WHEN coalesce(original <> '', FALSE) AND starts_with(expanded, original) THEN {added} ELSE [] END AS added FROM ({RECORDS})),"
+        f" k AS (SELECT *, list_filter(added, lambda h: {_passes('original', 'h', strict)}) AS kept FROM a)"
+        " SELECT doc_id, CASE WHEN NOT known THEN expanded WHEN len(kept) > 0 THEN original || ' ' || array_to_string(kept, ' ') ELSE original END AS text, len(added) AS n_added, len(kept) AS n_kept FROM k"
+    )
+
+
+@query(validated_sql())
 def nli_validate_join(spark, folder):
     return _validated(spark, folder)
 
 
-@query()
+@query(
+    " UNION ALL ".join(
+        f"SELECT CAST(sum(n_kept) AS BIGINT) AS kept, CAST(sum(n_added) - sum(n_kept) AS BIGINT) AS removed, round(100.0::DOUBLE * sum(n_kept) / nullif(sum(n_added), 0), 6) AS keep_rate, '{m}' AS mode FROM ({validated_sql(m == 'strict')})"
+        for m in ("lenient", "strict")
+    )
+)
 def nli_keep_rates(spark, folder):
     rates = [expand.keep_rates(_validated(spark, folder, m)).withColumn("mode", F.lit(m)) for m in ("lenient", "strict")]
     return rates[0].unionByName(rates[1])
