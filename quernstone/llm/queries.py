@@ -83,6 +83,19 @@ SELECT rec_a, rec_b FROM s JOIN n x ON x.rec_id = rec_a JOIN n y ON y.rec_id = r
 """
 
 
+P5_GROUPS_SQL = rf"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT DISTINCT rec_id, lower(unnest(regexp_extract_all(concat_ws(' ', original, array_to_string(queries, ' ')), '[\p{{L}}\p{{N}}]+'))) AS word
+  FROM expander WHERE rec_id IS NOT NULL),
+c AS MATERIALIZED (SELECT rec_id, min(rec_id) OVER (PARTITION BY words) AS class_id FROM (SELECT rec_id, string_agg(word, ' ' ORDER BY word) AS words FROM w GROUP BY rec_id)),
+e AS MATERIALIZED (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM ({P5_SQL}) JOIN c x ON x.rec_id = rec_a JOIN c y ON y.rec_id = rec_b WHERE x.class_id <> y.class_id),
+l AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+g AS (SELECT DISTINCT class_id AS x, class_id AS y FROM c UNION SELECT x, b FROM g JOIN l ON a = y),
+m AS (SELECT x, min(y) AS group_id FROM g GROUP BY x)
+SELECT rec_id, class_id, group_id, (SELECT count(*) FROM l WHERE a = class_id) AS n_links FROM c JOIN m ON x = class_id
+"""
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(dealt(spark, folder, "documents", "doc_id", "text"))
 
@@ -98,4 +111,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_terms": p2_terms, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_bins": p7_bins, "p8_found": p8_found}
-ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_terms": P2_TERMS_SQL, "p5_found": P5_SQL}
+ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_terms": P2_TERMS_SQL, "p5_found": P5_SQL, "p5_groups": P5_GROUPS_SQL}
