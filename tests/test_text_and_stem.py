@@ -20,7 +20,12 @@ def test_porter(spark):
     pairs = (
         "caresses caress,ponies poni,cats cat,agreed agre,feed feed,plastered plaster,bled bled,motoring motor,sing sing,sized size,hopping hop,"
         "falling fall,filing file,happy happi,sky sky,relational relat,conditional condit,triplicate triplic,hopefulness hope,goodness good,"
-        "revival reviv,adoption adopt,probate probat,rate rate,controll control,roll roll,is is"
+        "revival reviv,adoption adopt,probate probat,rate rate,controll control,roll roll,is is,"
+        "ties ti,caress caress,conflated conflat,troubled troubl,tanned tan,hissing hiss,fizzed fizz,failing fail,rational ration,valenci valenc,hesitanci hesit,digitizer digit,"
+        "conformabli conform,radicalli radic,differentli differ,vileli vile,analogousli analog,vietnamization vietnam,predication predic,operator oper,feudalism feudal,"
+        "decisiveness decis,callousness callous,formaliti formal,sensitiviti sensit,sensibiliti sensibl,formative form,formalize formal,electriciti electr,electrical electr,"
+        "allowance allow,inference infer,airliner airlin,gyroscopic gyroscop,adjustable adjust,defensible defens,irritant irrit,replacement replac,adjustment adjust,dependent depend,"
+        "homologou homolog,communism commun,activate activ,angulariti angular,homologous homolog,effective effect,bowdlerize bowdler,cease ceas"
     )
     want = dict(p.split() for p in pairs.split(","))
     got = {r["term"]: r["stem"] for r in stemmed(spark.createDataFrame([(w,) for w in want], "term string")).collect()}
