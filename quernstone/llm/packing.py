@@ -50,23 +50,24 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, group_items: int = G
 
     An item larger than the capacity, and only such a one, is split: into pieces of the capacity and a remainder, all
     placed like items (start: the piece's place in the item, piece_no from 0). Rows with a null key or a null or
-    non-positive size are no items. Ties of size go by key and piece; a key that stands in several rows is several
-    items. container is 'group-number', unique over all groups. Further columns are ignored.
+    non-positive size are no items. Ties of size go by key, piece and row; a key that stands in several rows is several
+    items, dealt like others. container is 'group-number', unique over all groups. Further columns are ignored.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     kind = df.select(key).schema[0].dataType.simpleString()
     items = df.where(df[key].isNotNull() & (df[size] > 0)).select(df[key].alias("id"), df[size].cast("long").alias("size"))
-    items = settle(items)  # sizes may be dear to compute, and are read twice
+    # Sizes may be dear to compute, and are read twice; rows of one key are told apart by their place in what is written.
+    items = settle(items).withColumn("row", F.monotonically_increasing_id())
     groups = max(1, -(-items.count() // group_items))
     # Pieces go out before the groups are dealt: a giant item doesn't make its group larger.
     pieces = items.select(
-        "id", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {int(capacity)}"))).alias("piece_no", "nth")
-    ).select("id", "piece_no", (F.col("nth") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("nth") * capacity).alias("n_tokens"))
-    dealt = pieces.withColumn("lot", F.pmod(F.xxhash64("id", "piece_no"), F.lit(groups)))
+        "id", "row", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {int(capacity)}"))).alias("piece_no", "nth")
+    ).select("id", "row", "piece_no", (F.col("nth") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("nth") * capacity).alias("n_tokens"))
+    dealt = pieces.withColumn("lot", F.pmod(F.xxhash64("id", "piece_no", "row"), F.lit(groups)))
 
     def fill(lot: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "id", "piece_no"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["n_tokens", "id", "piece_no", "row"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         own = first_fit_decreasing(rows["n_tokens"].to_numpy(), capacity)
         return rows[["id", "piece_no", "start", "n_tokens"]].assign(container=[f"{lot[0]}-{x}" for x in own])
 

@@ -2,6 +2,7 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.llm import packing, tokens
 
@@ -80,3 +81,12 @@ def test_nothing_is_lost_or_overfull(spark, group):
     if group > 500:
         assert len(fill) <= -(-sum(fill.values()) // 100) + 3
     assert packing.pack(df.limit(0), "doc_id", "n_tokens", 100).collect() == []
+
+
+def test_one_key_in_most_rows(spark):
+    """Its rows are dealt over all groups."""
+    df = spark.range(3_000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"), (F.col("id") % 40 + 1).alias("n"))
+    got = packing.pack(df, "k", "n", 100, group_items=500).collect()
+    assert len(got) == 3_000 and sum(r["n_tokens"] for r in got) == sum(n % 40 + 1 for n in range(3_000))
+    lots = [r["container"].split("-")[0] for r in got]
+    assert len(set(lots)) == 6 and max(lots.count(x) for x in set(lots)) < 800
