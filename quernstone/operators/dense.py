@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.operators.sparse import DECIMALS, top_k
+from quernstone.session import written
+from quernstone.sources.tables import hashed_sample
 
 #: Numbers of a block of query vectors that goes to every task (64 MB), and of results a task holds for it (64 MB of
 #: ids and scores); more queries are searched block by block.
@@ -109,12 +111,11 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "
     return top_k(found, k, tag, order)
 
 
-def similarity_matrix(vectors: DataFrame, group: str | None = None) -> DataFrame:
+def similarity_matrix(vectors: DataFrame, group: str) -> DataFrame:
     """Cosines of all pairs i < j of the vectors of a group of bounded size (the expansions of one document)."""
     x, y = vectors.alias("x"), vectors.alias("y")
-    same = F.col(f"x.{group}") == F.col(f"y.{group}") if group else F.lit(True)
-    own = [F.col(f"x.{group}").alias(group)] if group else []
-    return x.join(y, same & (F.col("x.vec_id") < F.col("y.vec_id"))).select(*own, F.col("x.vec_id").alias("i"), F.col("y.vec_id").alias("j"), cosine("x.embedding", "y.embedding").alias("sim"))
+    same = (F.col(f"x.{group}") == F.col(f"y.{group}")) & (F.col("x.vec_id") < F.col("y.vec_id"))
+    return x.join(y, same).select(F.col(f"x.{group}").alias(group), F.col("x.vec_id").alias("i"), F.col("y.vec_id").alias("j"), cosine("x.embedding", "y.embedding").alias("sim"))
 
 
 def rerank(candidates: DataFrame, passages: DataFrame, queries: DataFrame, depth: int = 1000, tag: str = "rerank") -> DataFrame:
@@ -123,3 +124,56 @@ def rerank(candidates: DataFrame, passages: DataFrame, queries: DataFrame, depth
         passages.select("doc_id", F.col("embedding").alias("p")), "doc_id"
     )
     return top_k(pairs.select("qid", "doc_id", cosine("q", "p").alias("score")), None, tag)
+
+
+def _nearest(shared, probes: int):
+    """The lists of the probes nearest centroids of each vector, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids = shared.value
+        d = min(probes, len(centroids))
+        for whole in batches:
+            for at in range(0, whole.num_rows, max(1, AT_ONCE // len(centroids))):
+                batch = whole.slice(at, max(1, AT_ONCE // len(centroids)))
+                x = np.array(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+                near = x @ centroids.T
+                found = np.argpartition(-near, d - 1, axis=1)[:, :d]
+                rows = pa.array(np.repeat(np.arange(len(x)), d))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found.ravel().astype(np.int32))], ["id", "embedding", "list"])
+
+    return run
+
+
+def write_lists(vectors: DataFrame, folder: str, every: int = 50, most: int = 65_536) -> None:
+    """An inverted file of vectors (doc_id long, embedding): each in the list of its nearest centroid, sorted by list, and
+    the centroids beside them. The centroids are a sample by hash of one of so many vectors, most at most; every vector
+    is indexed. Vectors of zeros only have no direction and are left out."""
+    spark = vectors.sparkSession
+    known = vectors.where(F.exists("embedding", lambda x: x != 0)).select("doc_id", unit("embedding").alias("embedding"))
+    n = known.count()
+    sample = hashed_sample(known, "doc_id", min(most, max(1, n // every)), n)
+    centroids = written(sample.select("embedding"), "centroids")
+    centroids.write.mode("overwrite").parquet(f"{folder}/centroids")
+    schema = "id long, embedding array<double>, list int"
+    listed = known.mapInArrow(_nearest(_shared_centroids(spark, folder), 1), schema) if n else spark.createDataFrame([], schema)
+    listed.withColumnRenamed("id", "doc_id").repartitionByRange("list", "doc_id").sortWithinPartitions("list").write.mode("overwrite").parquet(f"{folder}/lists")
+
+
+def _shared_centroids(spark: SparkSession, folder: str):
+    rows = spark.read.parquet(f"{folder}/centroids").collect()
+    return spark.sparkContext.broadcast(np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 1))
+
+
+def approximate_search(queries: DataFrame, folder: str, k: int, probes: int = 32, tag: str = "ann") -> DataFrame:
+    """The k most similar vectors of a written inverted file, for query vectors (qid long, embedding), by cosine, among
+    the lists of the probes nearest centroids. Only lists that are probed leave the scan, and a list meets its queries
+    by a join on the list, so no task holds more than the rows it ranks. Ties go by doc_id."""
+    spark = queries.sparkSession
+    shared = _shared_centroids(spark, folder)
+    if not len(shared.value):
+        return top_k(spark.createDataFrame([], "qid long, doc_id long, score double"), k, tag)
+    asked = queries.where(F.exists("embedding", lambda x: x != 0)).select("qid", unit("embedding").alias("embedding"))
+    probed = asked.mapInArrow(_nearest(shared, probes), "id long, embedding array<double>, list int").select(F.col("id").alias("qid"), F.col("embedding").alias("q"), "list")
+    lists = spark.read.parquet(f"{folder}/lists").join(probed.select("list").distinct(), "list", "left_semi")
+    scored = lists.join(probed, "list").select("qid", "doc_id", F.round(dot("q", "embedding"), DECIMALS).alias("score"))
+    return top_k(scored, k, tag)

@@ -11,9 +11,11 @@ from pyspark.sql.window import Window
 
 from quernstone.functions.stem import stemmed
 from quernstone.functions.text import tokens
-from quernstone.session import settle
+from quernstone.session import settle, written
 
 BLOCK = 128
+#: Postings of a term that one task numbers.
+HOT = 10_000_000
 
 
 #: Terms of queries that are pushed into the scan of a stored index; more are joined to it.
@@ -82,13 +84,28 @@ def build_index(docs: DataFrame, analyzer: str = "ascii", stem: bool = False, su
     return Index(terms, stats, stem)
 
 
-def posting_blocks(postings: DataFrame, size: int = BLOCK) -> DataFrame:
+def _numbered(postings: DataFrame, hot: int) -> DataFrame:
+    """The postings with nth, from 0 in document order within a term. Terms of more than hot postings, of which there
+    are postings / hot at most, are numbered part by part, so no task holds all postings of a frequent term."""
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    cut = df.where(F.col("df") > hot).select("term", "low", F.expr(f"(high - low) div (df div {int(hot)} + 1) + 1").alias("width"))
+    parted = postings.join(F.broadcast(cut), "term", "left").withColumn("part", F.coalesce(F.expr("(doc_id - low) div width"), F.lit(0))).drop("low", "width")
+    before = Window.partitionBy("term").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start = parted.join(F.broadcast(cut.select("term")), "term", "left_semi").groupBy("term", "part").agg(F.count(F.lit(1)).alias("n"))
+    start = start.select("term", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy("term", "part").orderBy("doc_id")
+    return parted.withColumn("nth", F.row_number().over(order) - 1).join(F.broadcast(start), ["term", "part"], "left").withColumn(
+        "nth", F.col("nth") + F.coalesce("start", F.lit(0))
+    ).drop("part", "start")
+
+
+def posting_blocks(postings: DataFrame, size: int = BLOCK, hot: int = HOT) -> DataFrame:
     """Runs of at most size postings of a term in document order: (term, block, n, first_doc, last_doc, deltas, freqs).
 
     The first delta of a block is the document itself, so each block reads on its own.
     """
-    order = Window.partitionBy("term").orderBy("doc_id")
-    placed = postings.withColumn("block", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
+    postings = written(postings, "postings")  # read several times
+    placed = _numbered(postings, hot).withColumn("block", F.floor(F.col("nth") / size).cast("int"))
     before = F.lag("doc_id").over(Window.partitionBy("term", "block").orderBy("doc_id"))
     steps = placed.withColumn("delta", F.col("doc_id") - F.coalesce(before, F.lit(0)))
     held = F.array_sort(F.collect_list(F.struct("doc_id", "delta", "tf"))).alias("held")

@@ -322,6 +322,14 @@ def dense_l2_topk(spark, folder):
     return found(dense.dense_search(_hundredth(rows), rows, K, "l2"))
 
 
+@query()
+def ann_topk(spark, folder):
+    """dense_topk from an inverted file; what it finds of it is in the README."""
+    rows, at = vectors(spark, folder), f"{durable_folder(spark).rstrip('/')}/lists-{uuid.uuid4().hex}"
+    dense.write_lists(rows, at)
+    return found(dense.approximate_search(_hundredth(rows), at, K))
+
+
 @query(
     f"WITH p AS ({PASSAGES}) SELECT x.doc_id, x.vec_id AS i, y.vec_id AS j, round(list_dot_product(x.embedding, y.embedding) / (sqrt(list_dot_product(x.embedding, x.embedding))"
     " * sqrt(list_dot_product(y.embedding, y.embedding))), 6) AS sim FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.vec_id < y.vec_id"

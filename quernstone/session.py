@@ -29,10 +29,12 @@ def build_session(master: str | None = None, app: str = "quernstone", **conf: st
 
 
 def durable_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or on a single machine (tests) one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = known if known else "file://" + tempfile.mkdtemp(prefix="quernstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.operators import dense, fusion, index, sparse
 
@@ -47,6 +48,8 @@ def test_blocks_read_back(spark):
     postings = index.build_index(docs).postings
     blocks = index.posting_blocks(postings)
     assert sorted(r["n"] for r in blocks.collect()) == [44, 128, 128]
+    more = postings.unionByName(postings.where("doc_id < 90").withColumn("term", F.lit("other")))
+    assert sorted(map(tuple, index.posting_blocks(more, hot=40).collect())) == sorted(map(tuple, index.posting_blocks(more).collect()))
     assert sorted(map(tuple, index.unpacked(blocks).collect())) == sorted(map(tuple, postings.select("term", "doc_id", "tf").collect()))
 
 
@@ -99,6 +102,21 @@ def test_dense_search_is_exact(spark):
     assert dense.dense_search(asked.where("qid < 0"), rows, 5).isEmpty()
 
 
+def test_approximate_search(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(60, 16))[rng.integers(0, 60, 3_000)] + rng.normal(size=(3_000, 16)) * 0.3).astype(np.float32)
+    x[7] = 0
+    rows = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)], "doc_id long, embedding array<float>").repartition(5)
+    asked = rows.where("doc_id % 30 = 1").selectExpr("doc_id AS qid", "embedding")
+    dense.write_lists(rows, str(tmp_path))
+    found = {(r["qid"], r["doc_id"]) for r in dense.approximate_search(asked, str(tmp_path), 10, probes=12).collect()}
+    true = {(r["qid"], r["doc_id"]) for r in dense.dense_search(asked, rows, 10).collect()}
+    assert len(found) == len(true) and len(found & true) >= 0.9 * len(true)
+    assert spark.read.parquet(f"{tmp_path}/lists").count() == 2_999
+    dense.write_lists(rows.limit(0), f"{tmp_path}/none")
+    assert dense.approximate_search(asked, f"{tmp_path}/none", 3).isEmpty()
+
+
 def test_rrf(spark):
     a = spark.createDataFrame([("q", d, n) for n, d in enumerate("xyz", 1)], "qid string, doc_id string, rank int")
     b = spark.createDataFrame([("q", d, n) for n, d in enumerate("yw", 1)], "qid string, doc_id string, rank int")
