@@ -95,6 +95,22 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype="<f4").reshape(len(rows), -1)
 
 
+def _short(x: np.ndarray) -> list[bytes]:
+    """Vectors as 24-bit numbers, which is all that single precision tells of them; the scale falls out of a cosine."""
+    x = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 8_388_607).astype("<i4")
+    return [r.tobytes() for r in x.view(np.uint8).reshape(*x.shape, 4)[:, :, :3]]
+
+
+def _long(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The same at length one, in double precision."""
+    rows = column.to_pylist()
+    short = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1, 3)
+    full = np.zeros((*short.shape[:2], 4), dtype=np.uint8)
+    full[:, :, 1:] = short
+    x = (full.reshape(len(rows), -1).view("<i4") >> 8).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def thinned(pivots: np.ndarray, apart: float = APART) -> np.ndarray:
     """The pivots, of those nearer than apart to an earlier one that stays only that one."""
     stays = np.ones(len(pivots), dtype=bool)
@@ -151,10 +167,11 @@ def _permute(pivots, prefix: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 4_000):
                 batch = whole.slice(at, 4_000)
-                places = pivots.value.nearest(_matrix(batch.column(1)), prefix)
+                vectors = _matrix(batch.column(1))
+                places = pivots.value.nearest(vectors, prefix)
                 offsets = pa.array(np.arange(len(places) + 1, dtype=np.int32) * places.shape[1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(places.ravel()))], ["rep", "vec", "prefix"]
+                    [batch.column(0), pa.array(_short(vectors), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(places.ravel()))], ["rep", "vec", "prefix"]
                 )
 
     return run
@@ -196,8 +213,7 @@ def _meet(k: int):
     def run(table: pa.Table) -> pa.Table:
         reps, others, cosines = [], [], []
         table = table.sort_by("rep")
-        pivot, block, vectors = table.column("pivot")[0].as_py(), table.column("block").to_numpy(), _matrix(table.column("vec")).astype(np.float64)
-        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        pivot, block, vectors = table.column("pivot")[0].as_py(), table.column("block").to_numpy(), _long(table.column("vec"))
         prefix = table.column("prefix").combine_chunks()
         prefix = prefix.flatten().to_numpy().reshape(len(prefix), -1)
         every = np.arange(table.num_rows)
@@ -274,11 +290,12 @@ def neighbour_pairs(df: DataFrame, key: str, vector: str, dim: int, k: int = 5)
     reps = written(vectors.join(classes.select("print", "rep"), "print").select("rep", "vec"), "vectors")
     near = similar_vectors(reps, classes.count(), k)
     ids = classes.select("rep", "ids")
-    outside = near.join(ids.select(F.col("rep").alias("other"), "ids"), "other").select("rep", "cos", F.explode(F.slice("ids", 1, k)).alias("id"))
     small = ids.where(F.size("ids") <= k)
-    mine = small.select("rep", F.explode("ids").alias("own"))
+    # near lies by rep already, so its own ids come first and the others' after the only shuffle by other.
+    mine = near.join(small.select("rep", F.explode("ids").alias("own")), "rep").select("own", "other", "cos")
+    outside = mine.join(ids.select(F.col("rep").alias("other"), "ids"), "other").select("own", F.explode(F.slice("ids", 1, k)).alias("id"), "cos")
     inside = small.where(F.size("ids") > 1).select(F.explode("ids").alias("own"), "ids").select("own", F.explode("ids").alias("id"), F.lit(1.0).alias("cos")).where("own <> id")
-    ranked = mine.join(outside, "rep").select("own", "id", "cos").unionByName(inside)
+    ranked = outside.unionByName(inside)
     place = Window.partitionBy("own").orderBy(F.desc("cos"), F.asc("id"))
     close = ranked.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select("own", "id")
     # Every copy in a large class has its k smallest others. A class may be of any size: there are no more than
