@@ -177,4 +177,4 @@ def keep_rates(validated: DataFrame) -> DataFrame:
 
 def not_yet_done(docs: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose key isn't in the output yet: how a job goes on after it broke off."""
-    return docs.join(done.select(key).distinct(), key, "left_anti")
+    return docs.join(done.select(key), key, "left_anti")  # reads the keys of done only

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,12 +30,13 @@ def build_session(master: str | None = None, app: str = "quernstone", **conf: st
 
 
 def durable_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or on a single machine (tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests, a single machine) one of our
+    own, with a warning on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         known = spark.sparkContext.getCheckpointDir()
         if not known and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            warnings.warn("spark.checkpoint.dir is not set: a folder of this machine is used, which executors elsewhere can't see", stacklevel=2)
         folder = known if known else "file://" + tempfile.mkdtemp(prefix="quernstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
