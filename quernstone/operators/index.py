@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quernstone.functions.stem import stemmed
 from quernstone.functions.text import tokens
+from quernstone.operators.scoring import packed
 from quernstone.session import settle, written
 
 BLOCK = 128
@@ -35,6 +36,10 @@ class Index:
     def _read(self, name: str) -> DataFrame:
         return self.stats.sparkSession.read.parquet(f"{self.stored}/{name}")
 
+    @property
+    def documents_kind(self) -> str:
+        return (self._read("postings") if self.stored else self.terms).schema["doc_id"].dataType.simpleString()
+
     @cached_property
     def postings(self) -> DataFrame:
         """(term, doc_id, dl, tf)"""
@@ -60,6 +65,25 @@ class Index:
             postings = flat.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
         return postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
+    def by_document(self, numbers: DataFrame) -> DataFrame:
+        """(doc_id, dl, terms, tfs) of one row a document: its terms among numbers (term, t), as t in order. Written once.
+        Of documents that aren't stored all stand there, also those with none of these terms; no posting is exchanged."""
+        spark = self.stats.sparkSession
+        if self.stored:
+            found = self.lookup(numbers)[0].join(F.broadcast(numbers), "term").select("doc_id", "dl", "t", F.col("tf").alias("n"))
+            flat = found.repartition("doc_id").sortWithinPartitions("doc_id")
+        else:
+            if self.stem:
+                vocabulary = settle(stemmed(self.terms.select(F.explode("terms").alias("term")).distinct()))  # a table of its own, as in posted()
+                terms = vocabulary.join(F.broadcast(numbers.withColumnRenamed("term", "stem")), "stem").select("term", "t")
+            else:
+                terms = numbers
+            every = spark.createDataFrame([("", -1)], terms.schema)  # no term is empty: this one stands for the document
+            flat = self.terms.select("doc_id", "dl", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
+            flat = flat.join(F.broadcast(terms.unionByName(every)), "term").select("doc_id", "dl", "t", F.lit(1).cast("long").alias("n"))
+        kind = flat.schema["doc_id"].dataType.simpleString()
+        return written(flat.mapInArrow(packed, f"doc_id {kind}, dl long, terms array<int>, tfs array<int>"), "by-document")
+
 
 def posted(terms: DataFrame, stem: bool = False) -> DataFrame:
     """Postings of documents. With stemming, the distinct terms are stemmed, not every occurrence."""

@@ -140,3 +140,43 @@ def test_hybrid_search_takes_whole_lists(spark, tmp_path):
     assert {r["doc_id"]: r["rank"] for r in rows}[11] == 1
     assert len(rows) == 12 + 42 - 1
     assert next(r["score"] for r in rows if r["doc_id"] == 11) == pytest.approx(2 / 72, abs=1e-9)
+
+
+def _by_rows(index_, queries, k, **more):
+    """bm25 with no depth makes a row for each query and document."""
+    rows = sparse.bm25(index_, queries, None, **more).where(F.col("rank") <= k)
+    return sorted(map(tuple, rows.collect()))
+
+
+def test_no_row_for_each_query_and_document(spark):
+    """2,000 documents that all hold the query's words: the k best of a task are exchanged, not all that match."""
+    docs = spark.range(2_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.concat(F.lit("apple banana "), F.repeat(F.lit("pear "), (F.col("id") % 7).cast("int"))).alias("text"))
+    run = sparse.bm25(index.build_index(docs), ask(spark, ("a", "apple banana"), ("b", "pear apple")), 3)
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashAggregate" not in plan
+    assert len(run.collect()) == 6
+
+
+def test_bounds_lose_no_document(spark, monkeypatch):
+    """The same rows as from all pairs of query and document: frequent and rare terms, terms that count against, ties,
+    repeated words, small blocks and parts."""
+    from quernstone.operators import scoring
+
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{n}" for n in range(60)])
+    odds = 1 / np.arange(1, 61) ** 0.8
+    odds /= odds.sum()
+    rows = [(int(n) * 7 % 601, " ".join(["every"] * int(rng.integers(0, 3)) + rng.choice(words, int(rng.integers(1, 30)), p=odds).tolist())) for n in range(601)]
+    rows += [(1_000 + n, rows[5][1]) for n in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 7)), p=odds)) for _ in range(30)] + ["every", "every w3", "w1 w1 w40", rows[5][1], "nowhere", "nowhere w2"]
+    queries = ask(spark, *[(f"q{n}", t) for n, t in enumerate(texts)])
+    own = index.build_index(docs)
+    monkeypatch.setattr(scoring, "DOCS", 100)
+    for more in ({}, {"positive": True, "floor": 0.25}, {"mode": "and"}):
+        assert sorted(map(tuple, sparse.bm25(own, queries, 5, **more).collect())) == _by_rows(own, queries, 5, **more)
+    monkeypatch.setattr(sparse, "RESULTS", 60)
+    named = index.build_index(docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text"))
+    assert sorted(map(tuple, sparse.bm25(named, queries, 5).collect())) == _by_rows(named, queries, 5)
+    stems = index.build_index(docs, stem=True)
+    assert sorted(map(tuple, sparse.bm25(stems, queries, 5).collect())) == _by_rows(stems, queries, 5)
