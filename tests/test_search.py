@@ -180,3 +180,12 @@ def test_bounds_lose_no_document(spark, monkeypatch):
     assert sorted(map(tuple, sparse.bm25(named, queries, 5).collect())) == _by_rows(named, queries, 5)
     stems = index.build_index(docs, stem=True)
     assert sorted(map(tuple, sparse.bm25(stems, queries, 5).collect())) == _by_rows(stems, queries, 5)
+
+
+@pytest.mark.parametrize("more", [{"mode": "and"}])
+def test_no_row_for_each_query_and_document_in_other_searches(spark, more):
+    docs = spark.range(500, numPartitions=4).select(F.col("id").alias("doc_id"), F.lit("apples banana").alias("text"))
+    run = sparse.bm25(index.build_index(docs, stem=more.get("stem", False)), ask(spark, ("a", "apples banana")), 3, mode=more.get("mode", "or"))
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashAggregate" not in plan
+    assert [r["doc_id"] for r in sorted(run.collect(), key=lambda r: r["rank"])] == [0, 1, 2]
