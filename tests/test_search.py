@@ -182,7 +182,7 @@ def test_bounds_lose_no_document(spark, monkeypatch):
     assert sorted(map(tuple, sparse.bm25(stems, queries, 5).collect())) == _by_rows(stems, queries, 5)
 
 
-@pytest.mark.parametrize("more", [{"mode": "and"}])
+@pytest.mark.parametrize("more", [{"mode": "and"}, {"stem": True}])
 def test_no_row_for_each_query_and_document_in_other_searches(spark, more):
     docs = spark.range(500, numPartitions=4).select(F.col("id").alias("doc_id"), F.lit("apples banana").alias("text"))
     run = sparse.bm25(index.build_index(docs, stem=more.get("stem", False)), ask(spark, ("a", "apples banana")), 3, mode=more.get("mode", "or"))
