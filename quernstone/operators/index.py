@@ -47,8 +47,11 @@ class Index:
 
     @property
     def lexicon(self) -> DataFrame:
-        """(term, df)"""
-        return self._read("lexicon") if self.stored else self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        """(term, df). A document is one row, so without stemming its terms are counted there and no posting is exchanged."""
+        if self.stored:
+            return self._read("lexicon")
+        each = self.postings if self.stem else self.terms.select(F.explode(F.array_distinct("terms")).alias("term"))
+        return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def lookup(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The postings and the lexicon of wanted terms (term)."""

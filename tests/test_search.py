@@ -189,3 +189,15 @@ def test_no_row_for_each_query_and_document_in_other_searches(spark, more):
     plan = run._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "HashAggregate" not in plan
     assert [r["doc_id"] for r in sorted(run.collect(), key=lambda r: r["rank"])] == [0, 1, 2]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lexicon_exchanges_no_posting(spark, docs):
+    """Terms are counted by document before the exchange, so a posting (with its doc_id) is never moved."""
+    own = index.build_index(docs)
+    lexicon = own.lexicon
+    assert "doc_id" not in _plan(lexicon).split("Exchange")[0] and "hashpartitioning(doc_id" not in _plan(lexicon)
+    assert {r["term"]: r["df"] for r in lexicon.collect()} == {"apple": 2, "banana": 1, "cherry": 1, "date": 1, "elder": 1, "fig": 1}
