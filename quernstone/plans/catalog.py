@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as X
@@ -418,11 +418,23 @@ def hybrid_okapi(spark, folder):
     return _hybrid(spark, folder, K, _okapi(spark, folder, K))
 
 
+def _vector_of(qid: str) -> Column:
+    """The id of the vector that stands for a query's own."""
+    return F.col(qid).cast("long") % 100
+
+
+def _dense_lists(spark: SparkSession, folder: str, own: DataFrame, depth: int) -> DataFrame:
+    """(vec_id, doc_id, rank): the best of each vector that queries (vec_id) have. Many share one, which is searched for once."""
+    docs = vectors(spark, folder)
+    each = docs.join(own.select(F.col("vec_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), "embedding")
+    return dense.dense_search(each, docs, depth).select(F.col("qid").alias("vec_id"), "doc_id", "rank")
+
+
 def _hybrid(spark: SparkSession, folder: str, depth: int, left: DataFrame | None = None) -> DataFrame:
-    queries, docs = asked(spark, folder), vectors(spark, folder)
+    queries = asked(spark, folder)
     left = left or sparse.bm25(index.build_index(documents(spark, folder)), queries, depth)
-    own = queries.select("qid", (F.col("qid").cast("long") % 100).alias("doc_id")).join(docs, "doc_id").select(F.col("qid").cast("long").alias("qid"), "embedding")
-    right = dense.dense_search(own, docs, depth).withColumn("qid", F.col("qid").cast("string"))
+    own = queries.select("qid", _vector_of("qid").alias("vec_id"))
+    right = own.join(F.broadcast(_dense_lists(spark, folder, own, depth)), "vec_id").select("qid", "doc_id", "rank")
     return found(fusion.rrf([left, right]))
 
 

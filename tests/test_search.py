@@ -201,3 +201,19 @@ def test_lexicon_exchanges_no_posting(spark, docs):
     lexicon = own.lexicon
     assert "doc_id" not in _plan(lexicon).split("Exchange")[0] and "hashpartitioning(doc_id" not in _plan(lexicon)
     assert {r["term"]: r["df"] for r in lexicon.collect()} == {"apple": 2, "banana": 1, "cherry": 1, "date": 1, "elder": 1, "fig": 1}
+
+
+def test_hybrid_searches_each_vector_once(spark, tmp_path, monkeypatch):
+    """Queries that share a vector make one dense search, and a qid stays the text it is."""
+    from quernstone.plans import catalog
+
+    spark.createDataFrame([(5, "apple"), (6, "pear")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, [1.0, float(n)]) for n in range(6)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked = [("1", "apple"), ("101", "apple"), ("0201", "zebra"), ("2", "pear")]
+    spark.createDataFrame(asked, "qid string, text string").selectExpr("*", "'dev' AS set_name", "timestamp '2020-01-01' AS created_at").write.parquet(f"{tmp_path}/queries.parquet")
+    sizes, search = [], dense.dense_search
+    monkeypatch.setattr(dense, "dense_search", lambda queries, *a, **b: sizes.append(queries.count()) or search(queries, *a, **b))
+    rows = catalog.QUERIES["hybrid_search"](spark, str(tmp_path)).collect()
+    assert sizes == [2]
+    of = {q: [(r["doc_id"], r["score"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["qid"] == q] for q, _ in asked}
+    assert of["1"] == of["101"] and len(of["0201"]) == 6 and of["0201"][0][0] == 1 and of["2"][0][0] == 2
