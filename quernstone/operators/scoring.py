@@ -18,6 +18,8 @@ DOCS, CELLS = 16_384, 32_000_000
 FREQUENT = 24
 #: Documents of one term that give a first bound of a query's k-th best score.
 SEEDS = 400
+#: Documents that are scored at once where each query's whole list of many is wanted.
+LIST_DOCS = 32_768
 #: Candidates that are held before they are scored in double precision.
 HELD = 500_000
 #: As everywhere, scores are ranked as rounded to so many decimals.
@@ -237,33 +239,106 @@ class _Block:
         self.score(best, held)
 
 
-def best_documents(shared):
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of documents (doc_id, dl, terms, tfs) so many at once: their ids, dl, numbers of terms, terms and tfs."""
+
+    def of(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        doc, dl, terms, tfs = (c.combine_chunks() for c in rows.columns)
+        sizes = np.asarray(pc.list_value_length(terms)).astype(np.int64)
+        return doc.to_numpy(zero_copy_only=False), np.asarray(dl).astype(np.float64), sizes, np.asarray(terms.flatten()), np.asarray(tfs.flatten())
+
+    waiting, n = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        n += batch.num_rows
+        while n >= size:
+            rows = pa.Table.from_batches(waiting)
+            yield of(rows.slice(0, size))
+            waiting, n = rows.slice(size).to_batches(), n - size
+    if n:
+        yield of(pa.Table.from_batches(waiting))
+
+
+def best_documents(shared, kind: pa.DataType):
     """Of documents (doc_id, dl, terms, tfs) the k best of each query: (qid, doc_id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
         best = _Best(len(asked["at"]) - 1, asked["k"])
-        kind = None
-
-        def block(rows: pa.Table) -> None:
-            doc, dl, terms, tfs = (c.combine_chunks() for c in rows.columns)
-            sizes = np.asarray(pc.list_value_length(terms)).astype(np.int64)
-            ids = doc.to_numpy(zero_copy_only=False)
-            _Block(asked, ids, np.asarray(dl).astype(np.float64), sizes, np.asarray(terms.flatten()), np.asarray(tfs.flatten())).search(best)
-
-        waiting, n = [], 0
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            waiting.append(batch)
-            n += batch.num_rows
-            while n >= DOCS:
-                rows = pa.Table.from_batches(waiting)
-                block(rows.slice(0, DOCS))
-                waiting, n = rows.slice(DOCS).to_batches(), n - DOCS
-        if n:
-            block(pa.Table.from_batches(waiting))
+        for block in _blocks(batches, DOCS):
+            _Block(asked, *block).search(best)
         for at in range(0, len(best.q), 50_000):
             part = slice(at, at + 50_000)
             yield pa.RecordBatch.from_arrays([asked["qids"].take(pa.array(best.q[part])), pa.array(best.doc[part], kind), pa.array(best.score[part])], ["qid", "doc_id", "score"])
 
     return run
+
+
+def _k_best(score: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by score, then document, in no order."""
+    if len(score) <= k:
+        return score, doc
+    least = np.partition(score, len(score) - k)[len(score) - k]
+    keep = score > least
+    tied = np.flatnonzero(score == least)
+    keep[tied[np.argsort(doc[tied], kind="stable")[: k - int(keep.sum())]]] = True
+    return score[keep], doc[keep]
+
+
+def best_lists(shared, kind: pa.DataType):
+    """Of all documents (doc_id, dl, terms, tfs) the k best of each query, one row a query: (qid, docs), the best first.
+
+    For many documents a query: every document with a term of it is scored, block by block in double precision.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        k, k1, b, n_queries = asked["k"], asked["k1"], asked["b"], len(asked["at"]) - 1
+        at, terms_, times_ = asked["at"].tolist(), asked["terms"].tolist(), asked["times"].tolist()
+        scores: list = [None] * n_queries
+        docs: list = [None] * n_queries
+        least = np.full(n_queries, -np.inf)
+        for ids, dl, sizes, t, tf in _blocks(batches, LIST_DOCS):
+            n = len(ids)
+            d = np.repeat(np.arange(n), sizes)
+            order = np.argsort(t, kind="stable")
+            t, d, tf = t[order], d[order], tf[order].astype(np.float64)
+            w = asked["idf"][t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[d] / asked["avgdl"]))
+            ends = np.searchsorted(t, np.arange(len(asked["idf"]) + 1)).tolist()
+            score, hits = np.zeros(n), np.zeros(n, dtype=np.int32)
+            for q in range(n_queries):
+                own = range(at[q], at[q + 1])
+                for i in own:
+                    x, y = ends[terms_[i]], ends[terms_[i] + 1]
+                    if x < y:
+                        score[d[x:y]] += w[x:y] if times_[i] == 1 else w[x:y] * times_[i]
+                        if asked["every"] or least[q] <= 0:
+                            hits[d[x:y]] += 1
+                if asked["every"] or least[q] <= 0:
+                    c = np.flatnonzero(hits >= (len(own) if asked["every"] else 1))
+                    hits.fill(0)
+                else:  # a document with no term has 0, so it doesn't reach the k-th best
+                    c = np.flatnonzero(score >= least[q] - 1e-6)
+                s = np.round(score[c], DECIMALS) + 0.0
+                score.fill(0)
+                keep = s >= least[q]
+                if asked["positive"]:
+                    keep &= s > 0
+                if not keep.all():
+                    c, s = c[keep], s[keep]
+                if not len(c):
+                    continue
+                own_docs = ids[c]
+                if scores[q] is not None:
+                    s, own_docs = np.concatenate([scores[q], s]), np.concatenate([docs[q], own_docs])
+                scores[q], docs[q] = _k_best(s, own_docs, k)
+                if len(scores[q]) == k:
+                    least[q] = scores[q].min()
+        for first in range(0, n_queries, 500):
+            part = range(first, min(first + 500, n_queries))
+            lists = [docs[q][np.lexsort((docs[q] if docs[q].dtype != object else np.unique(docs[q], return_inverse=True)[1], -scores[q]))] if docs[q] is not None else np.zeros(0, dtype=np.int64) for q in part]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
+            values = pa.concat_arrays([pa.array(x, kind) if len(x) else pa.array([], kind) for x in lists])
+            yield pa.RecordBatch.from_arrays([asked["qids"].slice(first, len(part)), pa.ListArray.from_arrays(offsets, values)], ["qid", "docs"])
+
+    return run

@@ -440,7 +440,12 @@ def _hybrid(spark: SparkSession, folder: str, depth: int, left: DataFrame | None
 
 @query(f"SELECT * FROM ({ORACLES['hybrid_search'].replace(f'rank <= {K}', f'rank <= {DEPTH}')}) WHERE rank <= {DEPTH}")
 def hybrid_search_deep(spark, folder):
-    return _hybrid(spark, folder, DEPTH)
+    queries = asked(spark, folder)
+    own = queries.select("qid", _vector_of("qid").alias("vec_id"))
+    left = sparse.bm25_lists(index.build_index(documents(spark, folder)), queries, DEPTH).select("qid", F.col("docs").alias("first"), _vector_of("qid").alias("vec_id"))
+    best = F.array_sort(F.collect_list(F.struct("rank", "doc_id")))
+    right = _dense_lists(spark, folder, own, DEPTH).groupBy("vec_id").agg(F.transform(best, lambda x: x["doc_id"]).alias("second"))
+    return fusion.fuse_lists(left.join(F.broadcast(right), "vec_id", "left"), keep=DEPTH)
 
 
 @query(f"SELECT printf('%s Q0 %s %d %.6f %s', qid, doc_id, rank, score, tag) AS value FROM ({RUNS})")

@@ -217,3 +217,28 @@ def test_hybrid_searches_each_vector_once(spark, tmp_path, monkeypatch):
     assert sizes == [2]
     of = {q: [(r["doc_id"], r["score"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["qid"] == q] for q, _ in asked}
     assert of["1"] == of["101"] and len(of["0201"]) == 6 and of["0201"][0][0] == 1 and of["2"][0][0] == 2
+
+
+def test_lists_are_those_of_the_rows(spark, monkeypatch):
+    """bm25_lists gives the documents of bm25, and fuse_lists the rows of rrf: ties, small blocks and parts, terms that
+    count against, queries without terms or documents. Lists of queries are not exchanged."""
+    from quernstone.operators import scoring
+
+    rng = np.random.default_rng(6)
+    words = [f"w{n}" for n in range(30)]
+    docs = spark.createDataFrame([(int(n) * 7 % 301, "every " + " ".join(rng.choice(words, int(rng.integers(1, 9))))) for n in range(301)], "doc_id long, text string").repartition(3)
+    queries = ask(spark, *[(f"q{n}", " ".join(rng.choice(words, int(rng.integers(1, 5))))) for n in range(20)], ("all", "every w1"), ("none", "nowhere"), ("empty", "the"), ("null", None))
+    monkeypatch.setattr(scoring, "LIST_DOCS", 50)
+    monkeypatch.setattr(sparse, "RESULTS", 200)
+    for made in (docs, docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")):
+        own = index.build_index(made)
+        for more in ({}, {"floor": 0.25, "positive": True}, {"mode": "and"}):
+            want: dict = {q: [] for q in [r["qid"] for r in queries.collect()]}
+            for r in sorted(sparse.bm25(own, queries, 40, **more).collect(), key=lambda r: r["rank"]):
+                want[r["qid"]].append(r["doc_id"])
+            lists = sparse.bm25_lists(own, queries, 40, **more)
+            assert {r["qid"]: r["docs"] for r in lists.collect()} == want
+    rows = lists.select("qid", F.col("docs").alias("first"), F.when(F.col("qid") != "q3", F.slice(F.reverse("docs"), 1, 5)).alias("second"))
+    runs = [rows.select("qid", F.posexplode(c).alias("rank", "doc_id")).withColumn("rank", F.col("rank") + 1) for c in ("first", "second")]
+    want = sorted(tuple(r)[:4] for r in fusion.rrf(runs, keep=30).collect())
+    assert sorted(map(tuple, fusion.fuse_lists(rows, keep=30).collect())) == want
