@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from quernstone.functions.stem import stemmed
 from quernstone.functions.text import tokens
-from quernstone.operators.scoring import packed
-from quernstone.session import settle, written
+from quernstone.operators.scoring import by_term, chunked, opened, packed
+from quernstone.session import settle, shuffle_width, written
 
 BLOCK = 128
 #: Postings of a term that one task numbers.
@@ -73,8 +73,11 @@ class Index:
         Of documents that aren't stored all stand there, also those with none of these terms; no posting is exchanged."""
         spark = self.stats.sparkSession
         if self.stored:
-            found = self.lookup(numbers)[0].join(F.broadcast(numbers), "term").select("doc_id", "dl", "t", F.col("tf").alias("n"))
-            flat = found.repartition("doc_id").sortWithinPartitions("doc_id")
+            postings = self.lookup(numbers)[0] if numbers.count() <= PUSHED_TERMS else self.postings  # the join keeps the terms
+            chunk = F.pmod(F.xxhash64("doc_id"), F.lit(4 * shuffle_width(spark))).cast("int")
+            found = postings.join(F.broadcast(numbers), "term").select("doc_id", "dl", "t", F.col("tf").alias("n"), chunk.alias("chunk"))
+            rows = found.drop("chunk").schema
+            flat = found.mapInArrow(chunked, "chunk int, held binary").repartition("chunk").mapInArrow(opened, rows).sortWithinPartitions("doc_id")
         else:
             if self.stem:
                 vocabulary = settle(stemmed(self.terms.select(F.explode("terms").alias("term")).distinct()))  # a table of its own, as in posted()
@@ -152,7 +155,14 @@ def write_index(index: Index, folder: str) -> None:
     """Postings and lexicon sorted by term, so files and row groups that hold no term of a query are skipped; the
     lengths of documents and the statistics beside them."""
     spark = index.stats.sparkSession
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    if index.stem or index.terms is None:
+        postings = index.postings.repartitionByRange("term", "doc_id")
+    else:  # a batch of documents has one row for each of its terms, so few rows are exchanged; they are written as the range is read twice
+        kind = index.documents_kind
+        lists = written(index.terms.mapInArrow(by_term, f"term string, docs array<{kind}>, dls array<int>, tfs array<int>"), "by-term")
+        each = F.inline(F.arrays_zip("docs", F.col("dls").cast("array<bigint>").alias("dls"), F.col("tfs").cast("array<bigint>").alias("tfs")))
+        postings = lists.repartitionByRange("term", F.col("docs")[0]).select("term", each.alias("doc_id", "dl", "tf"))
+    postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
     counted = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     counted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/lexicon")
     if index.terms is not None:

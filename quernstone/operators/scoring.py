@@ -61,6 +61,60 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield of(rest, np.arange(rest.num_rows) == 0)
 
 
+#: Postings that are held before they are packed for an exchange (16 MB).
+CHUNK = 500_000
+
+
+def by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, dl, terms) of documents, to (term, docs, dls, tfs) of one row a term of a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column(2).flatten().dictionary_encode()
+        doc = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column(2))))
+        key, tf = np.unique(np.asarray(codes.indices).astype(np.int64) * batch.num_rows + doc, return_counts=True)
+        term, doc = key // batch.num_rows, pa.array(key % batch.num_rows)
+        start = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        offsets = pa.array(np.append(start, len(term)).astype(np.int32))
+        held = (batch.column(0).take(doc), batch.column(1).take(doc).cast(pa.int32()), pa.array(tf.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(term[start])), *(pa.ListArray.from_arrays(offsets, x) for x in held)], ["term", "docs", "dls", "tfs"])
+
+
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, dl, t, n, chunk), to rows of chunk and held: its rows, compressed."""
+
+    def of(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(waiting).combine_chunks()
+        rows = rows.sort_by([("chunk", "ascending"), ("t", "ascending"), ("doc_id", "ascending")])
+        chunk = rows.column("chunk").to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+        rows, held = rows.drop_columns(["chunk"]), []
+        for a, e in zip(start.tolist(), [*start[1:].tolist(), len(chunk)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows.slice(a, e - a))
+            held.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(chunk[start], pa.int32()), pa.array(held, pa.binary())], ["chunk", "held"])
+
+    waiting, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            n += batch.num_rows
+        if n >= CHUNK:
+            yield of(waiting)
+            waiting, n = [], 0
+    if n:
+        yield of(waiting)
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that chunked() packed."""
+    for batch in batches:
+        for held in batch.column(1):
+            yield from pa.ipc.open_stream(held.as_buffer())
+
+
 class _Best:
     """The k best of each query so far; least: the k-th best score, which another document has to reach."""
 

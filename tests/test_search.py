@@ -242,3 +242,24 @@ def test_lists_are_those_of_the_rows(spark, monkeypatch):
     runs = [rows.select("qid", F.posexplode(c).alias("rank", "doc_id")).withColumn("rank", F.col("rank") + 1) for c in ("first", "second")]
     want = sorted(tuple(r)[:4] for r in fusion.rrf(runs, keep=30).collect())
     assert sorted(map(tuple, fusion.fuse_lists(rows, keep=30).collect())) == want
+
+
+def test_stored_postings_travel_in_lists(spark, tmp_path, monkeypatch):
+    """The stored index has the postings and lengths of the rows, for any kind of id, and a search of many terms of it the
+    same results; between them a batch of documents has one row a term, and postings one row a chunk."""
+    from quernstone.operators import scoring
+
+    monkeypatch.setattr(index, "PUSHED_TERMS", 1)
+    rows = [(n, " ".join([f"w{n % 5}"] * (n % 3 + 1) + ["pear", f"x{n}"])) for n in range(60)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for n, docs in enumerate((made, made.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text"))):
+        own = index.build_index(docs)
+        index.write_index(own, f"{tmp_path}/{n}")
+        stored = index.read_index(spark, f"{tmp_path}/{n}")
+        assert sorted(map(tuple, stored.postings.collect())) == sorted(map(tuple, own.postings.collect()))
+        assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{n}/lengths").collect())) == sorted(map(tuple, own.terms.select("doc_id", "dl").collect()))
+        assert tuple(stored.stats.first()) == tuple(own.stats.first())
+        asked = ask(spark, ("a", "w1 pear"), ("b", "x7 w2"))
+        assert sorted(map(tuple, sparse.bm25(stored, asked, 7).collect())) == sorted(map(tuple, sparse.bm25(own, asked, 7).collect()))
+    lists = own.terms.coalesce(1).mapInArrow(scoring.by_term, "term string, docs array<string>, dls array<int>, tfs array<int>")
+    assert lists.where("term = 'pear'").select(F.size("docs")).collect() == [(60,)]
