@@ -155,19 +155,23 @@ def write_index(index: Index, folder: str) -> None:
     """Postings and lexicon sorted by term, so files and row groups that hold no term of a query are skipped; the
     lengths of documents and the statistics beside them."""
     spark = index.stats.sparkSession
+    stats = index.stats
     if index.stem or index.terms is None:
         postings = index.postings.repartitionByRange("term", "doc_id")
-    else:  # a batch of documents has one row for each of its terms, so few rows are exchanged; they are written as the range is read twice
+        lengths = index.terms.select("doc_id", "dl") if index.terms is not None else None
+    else:  # a batch of documents has one row for each of its terms, so few rows are exchanged; written, as they are read again
         kind = index.documents_kind
         lists = written(index.terms.mapInArrow(by_term, f"term string, docs array<{kind}>, dls array<int>, tfs array<int>"), "by-term")
         each = F.inline(F.arrays_zip("docs", F.col("dls").cast("array<bigint>").alias("dls"), F.col("tfs").cast("array<bigint>").alias("tfs")))
-        postings = lists.repartitionByRange("term", F.col("docs")[0]).select("term", each.alias("doc_id", "dl", "tf"))
+        postings = lists.where("term <> ''").repartitionByRange("term", F.col("docs")[0]).select("term", each.alias("doc_id", "dl", "tf"))
+        lengths = lists.where("term = ''").select(each.alias("doc_id", "dl", "tf")).drop("tf")
+        stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
     counted = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     counted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/lexicon")
-    if index.terms is not None:
-        index.terms.select("doc_id", "dl").write.mode("overwrite").parquet(f"{folder}/lengths")
-    index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+    if lengths is not None:
+        lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+    stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
 
 def read_index(spark: SparkSession, folder: str, stem: bool = False) -> Index:

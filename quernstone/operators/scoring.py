@@ -66,7 +66,8 @@ CHUNK = 500_000
 
 
 def by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, dl, terms) of documents, to (term, docs, dls, tfs) of one row a term of a batch."""
+    """(doc_id, dl, terms) of documents, to (term, docs, dls, tfs) of one row a term of a batch, and one of all its documents,
+    whose term is empty as no other is."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -77,6 +78,8 @@ def by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
         offsets = pa.array(np.append(start, len(term)).astype(np.int32))
         held = (batch.column(0).take(doc), batch.column(1).take(doc).cast(pa.int32()), pa.array(tf.astype(np.int32)))
+        every = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x) for x in (batch.column(0), batch.column(1).cast(pa.int32()), pa.nulls(batch.num_rows, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([pa.array([""]), *every], ["term", "docs", "dls", "tfs"])
         yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(term[start])), *(pa.ListArray.from_arrays(offsets, x) for x in held)], ["term", "docs", "dls", "tfs"])
 
 
