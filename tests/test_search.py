@@ -263,3 +263,12 @@ def test_stored_postings_travel_in_lists(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, sparse.bm25(stored, asked, 7).collect())) == sorted(map(tuple, sparse.bm25(own, asked, 7).collect()))
     lists = own.terms.coalesce(1).mapInArrow(scoring.by_term, "term string, docs array<string>, dls array<int>, tfs array<int>")
     assert lists.where("term = 'pear'").select(F.size("docs")).collect() == [(60,)]
+
+
+def test_subset_and_results_make_no_row_for_each_query_and_document(spark):
+    docs = spark.range(500, numPartitions=4).select(F.col("id").alias("doc_id"), F.lit("apple banana").alias("text"))
+    run = sparse.bm25(index.build_index(docs, subset=docs.where("doc_id >= 10")), ask(spark, ("a", "apple banana")), 3)
+    whole = sparse.search_results(run, docs)
+    for df in (run, whole):
+        assert "MapInArrow" in _plan(df) and "HashAggregate" not in _plan(df)
+    assert sorted((r["doc_id"], r["text"]) for r in whole.collect()) == [(n, "apple banana") for n in (10, 11, 12)]
